@@ -7,15 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marklake.llm.encode_corpus import encode_corpus
+from marklake.llm.patterns import frequent_patterns
+from marklake.llm.repeated_runs import repeated_runs
 from marklake.sources.shared import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequent_patterns(table(spark, sf_dir, "tri")).select("pattern")
+
+
+def p2_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequent_patterns(table(spark, sf_dir, "tri"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_runs(table(spark, sf_dir, "tri")).select("sess", "first_pos", "last_pos")
+
+
+def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_runs(table(spark, sf_dir, "tri"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {f.__name__: f for f in (p2_found, p2_support, p4_found, p4_runs, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
