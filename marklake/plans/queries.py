@@ -6,9 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marklake.operators.drift import consistent_values, schema_changes
+from marklake.operators.nested import child_table, merged_schema, shredded
+from marklake.sources.shared import table
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_changes(table(spark, sf_dir, "results"), table(spark, sf_dir, "result_files")).select("file", "change", "path", "new_path")
+
+
+def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistent_values(table(spark, sf_dir, "results"), table(spark, sf_dir, "result_files"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shredded(table(spark, sf_dir, "raw_record")).select("record_id", "parent_path", "node_path")
+
+
+def p6_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merged_schema(shredded(table(spark, sf_dir, "raw_record")))
+
+
+def p6_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return child_table(shredded(table(spark, sf_dir, "raw_record")), "/arms/[]", ["arm", "params", "steps", "nats_1x", "nats_2x", "ternary_ok"])
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p5_found, p5_values, p6_found, p6_schema, p6_arms)}
 
 
 def oracle_sql() -> dict[str, str]:
