@@ -8,9 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marklake.operators.drift import consistent_values, schema_changes
 from marklake.operators.nested import child_table, merged_schema, shredded
+from marklake.operators.spikes import implausible
 from marklake.sources.shared import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_reasons(spark, sf_dir).select("reading_id", "field").distinct()
+
+
+def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return implausible(table(spark, sf_dir, "telemetry"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(table(spark, sf_dir, "results"), table(spark, sf_dir, "result_files")).select("file", "change", "path", "new_path")
 
@@ -32,7 +41,7 @@ def p6_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_values, p6_found, p6_schema, p6_arms)}
+    return {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_values, p6_found, p6_schema, p6_arms)}
 
 
 def oracle_sql() -> dict[str, str]:
