@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marklake.llm.encode_corpus import encode_corpus
+from marklake.llm.encodings import repaired
 from marklake.llm.patterns import frequent_patterns
 from marklake.llm.repeated_runs import repeated_runs
 from marklake.sources.shared import table
@@ -32,8 +33,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_restored(spark, sf_dir).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(table(spark, sf_dir, "documents")).where("garbled").select("doc_id", "restored", "layers", "complete")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_support, p4_found, p4_runs, p7_ids)}
+    return {f.__name__: f for f in (p2_found, p2_support, p4_found, p4_runs, p7_ids, p9_found, p9_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
