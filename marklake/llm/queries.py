@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marklake.llm.encode_corpus import encode_corpus
 from marklake.llm.encodings import repaired
+from marklake.llm.leaks import leaked
 from marklake.llm.patterns import frequent_patterns
 from marklake.llm.repeated_runs import repeated_runs
 from marklake.sources.shared import table
@@ -33,6 +34,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
+
+
+def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), paraphrases=True)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_restored(spark, sf_dir).select("doc_id")
 
@@ -42,7 +51,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_support, p4_found, p4_runs, p7_ids, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p2_found, p2_support, p4_found, p4_runs, p7_ids, p8_found, p8_paraphrases, p9_found, p9_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
