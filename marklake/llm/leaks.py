@@ -37,10 +37,16 @@ def words(text: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold()))
 
 
-def stretches(ids: np.ndarray, least: int) -> list[np.ndarray]:
-    """The parts without -1 of at least so many words."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], ids >= 0, [0]]).astype(np.int8)))
-    return [ids[a:b] for a, b in zip(edges[::2], edges[1::2]) if b - a >= least]
+def stretches(ids: np.ndarray, least: int, bridge: int = 0, other: int = -1) -> list[np.ndarray]:
+    """The parts without -1 of at least so many words; gaps of up to `bridge` words inside a part are kept as `other`."""
+    kept = ids >= 0
+    for size in range(1, bridge + 1):
+        for k in range(1, len(ids) - size):
+            if kept[k - 1] and kept[k + size] and not (ids[k : k + size] >= 0).any():
+                kept[k : k + size] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], kept, [0]]).astype(np.int8)))
+    filled = np.where(ids >= 0, ids, other)
+    return [filled[a:b] for a, b in zip(edges[::2], edges[1::2]) if b - a >= least]
 
 
 def passages(part: np.ndarray, width: int, step: int, pad: int) -> np.ndarray:
@@ -118,7 +124,7 @@ def _read_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Reco
         yield batch, [flat[a:b] for a, b in zip(flat_at[:-1], flat_at[1:])]
 
 
-def _tokenised(docs: DataFrame, vocabulary: dict[str, int], run: int, kind: str) -> DataFrame:
+def _tokenised(docs: DataFrame, vocabulary: dict[str, int], run: int, bridge: int, kind: str) -> DataFrame:
     """Rows with an id: the document's stretches of item words. Rows without: how many documents of a batch have a word."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -129,7 +135,7 @@ def _tokenised(docs: DataFrame, vocabulary: dict[str, int], run: int, kind: str)
             for k, text in enumerate(batch.column("body").to_pylist()):
                 own = np.fromiter((known.get(w, -1) for w in words(text)), dtype=np.int32)
                 seen[np.unique(own[own >= 0])] += 1
-                for part in stretches(own, run):
+                for part in stretches(own, run, bridge, len(known)):
                     rows.append(k)
                     ids.append(part)
             there = np.flatnonzero(seen).astype(np.int32)
@@ -193,7 +199,7 @@ def _pass(corpus: DataFrame, items: list[np.ndarray], space: Space, width: int,
 
 
 def latent_space(corpus: DataFrame, items: list[np.ndarray], weights: np.ndarray, rank: int, width: int, rounds: int = 2, spare: int = 16, seed: int = 7) -> Space:
-    """Randomised SVD of the TF-IDF passages: the leading right singular vectors, each divided by its singular value."""
+    """Randomised SVD of the TF-IDF passages: the leading right singular vectors, each divided by its damped singular value."""
     n = len(weights)
     rank = max(1, min(rank, n))
     q = np.random.default_rng(seed).standard_normal((n, min(rank + spare, n)))
@@ -201,7 +207,8 @@ def latent_space(corpus: DataFrame, items: list[np.ndarray], weights: np.ndarray
         q = np.linalg.qr(_pass(corpus, items, Space(weights, q), width, False)[:n].astype(np.float64))[0]
     values, vectors = np.linalg.eigh(_pass(corpus, items, Space(weights, q), width, True).astype(np.float64))
     keep = [k for k in np.argsort(-values)[:rank] if values[k] > 1e-6 * values.max()]
-    return Space(weights, (q @ vectors[:, keep]) / np.sqrt(values[keep]))
+    damped = np.sqrt(values[keep] + np.median(values[keep]))  # so that directions with hardly any weight don't decide
+    return Space(weights, (q @ vectors[:, keep]) / damped)
 
 
 class Query:
@@ -306,7 +313,7 @@ def leaked(
             for w in text:
                 vocabulary.setdefault(w, len(vocabulary))
         coded = [np.array([vocabulary[w] for w in text], dtype=np.int32) for _, text in texts]
-        table = written(_tokenised(docs, vocabulary, run, kind), "item-words")
+        table = written(_tokenised(docs, vocabulary, run, 2 if paraphrases else 0, kind), "item-words")
         counts = table.where("id is null").select(F.explode(F.arrays_zip("ids", "n")).alias("c")).groupBy("c.ids").agg(F.sum("c.n").alias("n")).collect()
         seen = np.zeros(len(vocabulary))
         for r in counts:
