@@ -44,3 +44,24 @@ def dropped(df: DataFrame) -> None:
     for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shipped(spark: SparkSession) -> None:
+    """Makes this package importable on all executors, once per application, wherever it was started from."""
+    import os
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_marklake_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = shared_dir(spark)
+    local = folder.removeprefix("file://") if folder.startswith(("file://", "/")) else tempfile.mkdtemp(prefix="marklake-")
+    os.makedirs(local, exist_ok=True)
+    target = f"{local}/marklake-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for p in sorted(package.rglob("*.py")):
+            out.write(p, p.relative_to(package.parent))
+    context.addPyFile(target)
+    context._marklake_shipped = True

@@ -19,6 +19,9 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from marklake.sources.shared import shipped
+
+    shipped(session)
     yield session
     session.stop()
 
