@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marklake.llm.encode_corpus import encode_corpus
 from marklake.llm.encodings import repaired
 from marklake.llm.leaks import leaked
-from marklake.llm.neighbours import directions, nearest_neighbours, pairs, phases
+from marklake.llm.neighbours import nearest_neighbours, pairs
 from marklake.llm.patterns import frequent_patterns
 from marklake.llm.repeated_runs import repeated_runs
 from marklake.sources.shared import table
@@ -25,11 +25,11 @@ def p2_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_neighbours(table(spark, sf_dir, "loop_event"), "event_id", directions(F.col("x"), 64), 64)
+    return nearest_neighbours(table(spark, sf_dir, "loop_event"), "event_id", "x", 64)
 
 
 def _mark_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_neighbours(table(spark, sf_dir, "vm_lattice"), "mark_id", phases(F.col("lattice"), 128), 256, per_code=4, probes=16, turn=16)
+    return nearest_neighbours(table(spark, sf_dir, "vm_lattice"), "mark_id", "lattice", 128, turn=16, per_code=4, probes=16)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
