@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marklake.operators.drift import consistent_values, schema_changes
 from marklake.operators.nested import child_table, merged_schema, shredded
 from marklake.operators.spikes import implausible
+from marklake.plans import reference, reference_more
 from marklake.sources.shared import table
 
 
@@ -40,9 +41,13 @@ def p6_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return child_table(shredded(table(spark, sf_dir, "raw_record")), "/arms/[]", ["arm", "params", "steps", "nats_1x", "nats_2x", "ternary_ok"])
 
 
+flagship = reference.flagship
+assert reference_more  # registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_values, p6_found, p6_schema, p6_arms)}
+    return reference.QUERIES | {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_values, p6_found, p6_schema, p6_arms)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(reference.SQL)
