@@ -128,7 +128,22 @@ def laddered(slot: np.ndarray, places: int, seed: int) -> tuple[list[tuple[int,
     return (found, "PEEL") if found else ([], "ABSTAIN")
 
 
-READERS = {"scan": lambda s, p, e: (exhaustive(s, p, e), "SCAN"), "peel": lambda s, p, e: (peeled(s, p, e), "PEEL"), "ladder": laddered}
+def scanned(rows: np.ndarray, places: int, seed: int, least: float = 0.5) -> list[tuple[list[tuple[int, float]], str]]:
+    """exhaustive() for many slots by one matrix product."""
+    score = (rows @ lattice(places, seed).conj().T).real / places
+    score[np.abs(rows).mean(1) <= 1e-9] = -1
+    out = []
+    for s in score:
+        hits = np.flatnonzero(s >= least)
+        out.append(([(int(k), float(s[k])) for k in hits[np.lexsort((hits, -s[hits]))]], "SCAN"))
+    return out
+
+
+READERS = {
+    "scan": scanned,
+    "peel": lambda rows, p, e: [(peeled(s, p, e), "PEEL") for s in rows],
+    "ladder": lambda rows, p, e: [laddered(s, p, e) for s in rows],
+}
 
 
 def slots(members: DataFrame, slot: str, number: str, places: int = PLACES, seed: int = 0) -> DataFrame:
@@ -143,15 +158,33 @@ def slots(members: DataFrame, slot: str, number: str, places: int = PLACES, seed
                 np.add.at(total, of[own] - a, encoded(batch.column(1).to_numpy()[own], places, seed))
                 yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 500])] + [pa.array([r.astype(np.float32).tobytes() for r in part], pa.binary()) for part in (total.real, total.imag)], ["slot", "re", "im"])
 
-    def add(pdf):
-        import pandas as pd
-
-        total = [np.sum([np.frombuffer(x, dtype=np.float32) for x in pdf[c]], axis=0, dtype=np.float32).tobytes() for c in ("re", "im")]
-        return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "re": [total[0]], "im": [total[1]]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, np.ndarray, np.ndarray] | None = None  # the last slot of a batch may go on in the next
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column("slot").to_numpy()
+            begin = np.flatnonzero(np.diff(names, prepend=names[0] - 1))
+            re, im = (np.add.reduceat(np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.float32).reshape(len(names), places), begin, axis=0) for c in ("re", "im"))
+            names = names[begin]
+            if held and held[0] == names[0]:
+                re[0] += held[1]
+                im[0] += held[2]
+            elif held:
+                yield _slot_rows(np.array([held[0]]), held[1][None], held[2][None])
+            if len(names) > 1:
+                yield _slot_rows(names[:-1], re[:-1], im[:-1])
+            held = (int(names[-1]), re[-1], im[-1])
+        if held:
+            yield _slot_rows(np.array([held[0]]), held[1][None], held[2][None])
 
     rows = members.select(F.col(slot).cast("long").alias("slot"), F.col(number).cast("long").alias("x")).dropna().distinct()
     schema = "slot long, re binary, im binary"
-    return rows.mapInArrow(partial, schema).groupBy("slot").applyInPandas(add, schema)
+    return rows.mapInArrow(partial, schema).repartition("slot").sortWithinPartitions("slot").mapInArrow(add, schema)
+
+
+def _slot_rows(names: np.ndarray, re: np.ndarray, im: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names)] + [pa.array([r.tobytes() for r in part], pa.binary()) for part in (re, im)], ["slot", "re", "im"])
 
 
 def read(slot_rows: DataFrame, reader: str = "scan", places: int = PLACES, seed: int = 0) -> DataFrame:
@@ -159,8 +192,11 @@ def read(slot_rows: DataFrame, reader: str = "scan", places: int = PLACES, seed:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("x", pa.int64()), ("confidence", pa.float64())]))
-        for batch in batches:
-            found = [READERS[reader](np.frombuffer(a, np.float32) + 1j * np.frombuffer(b, np.float32), places, seed) for a, b in zip(batch.column("re").to_pylist(), batch.column("im").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array([r for _, r in found], pa.string()), pa.array([[{"x": x, "confidence": c} for x, c in f] for f, _ in found], kind)], ["slot", "rung", "members"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                re, im = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(-1, places) for c in ("re", "im"))
+                found = READERS[reader](re + 1j * im, places, seed)
+                yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array([r for _, r in found], pa.string()), pa.array([[{"x": x, "confidence": c} for x, c in f] for f, _ in found], kind)], ["slot", "rung", "members"])
 
     return slot_rows.mapInArrow(go, "slot long, rung string, members array<struct<x: bigint, confidence: double>>")
