@@ -10,6 +10,7 @@ from marklake.operators.drift import consistent_values, schema_changes
 from marklake.operators.nested import child_table, merged_schema, shredded
 from marklake.operators.spikes import implausible
 from marklake.plans import reference, reference_more
+from marklake.plans.problems_sql import P1, P6
 from marklake.sources.shared import table
 
 
@@ -50,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(reference.SQL)
+    return reference.SQL | {"p1_found": P1, "p6_found": P6}
