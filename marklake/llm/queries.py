@@ -11,6 +11,7 @@ from marklake.llm.encode_corpus import encode_corpus
 from marklake.llm.encodings import repaired
 from marklake.llm.leaks import leaked
 from marklake.llm.neighbours import nearest_neighbours, pairs
+from marklake.llm.oracle import oracle_sql
 from marklake.llm.patterns import frequent_patterns
 from marklake.llm.repeated_runs import repeated_runs
 from marklake.sources.shared import table
@@ -75,5 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p2_found, p2_support, p3_found, p3_neighbours, p4_found, p4_runs, p7_ids, p8_found, p8_paraphrases, p9_found, p9_restored)}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
