@@ -142,6 +142,59 @@ def simplex(k: Column, n: int, places: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda w: F.pmod(k * (w % (n - 1) + 1) * (16 // n), F.lit(16)))
 
 
+def cross_polytope(k: Column, n: int, places: int) -> Column:
+    """Atom k of 2n: n axes of a harmonic frame (n divides 16), then their opposites."""
+    axis = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda w: F.pmod((k % n) * (w % n) * (16 // n), F.lit(16)))
+    return F.when(k < n, axis).otherwise(shifted(axis, 8))
+
+
+def hypercube(label: str, places: int) -> np.ndarray:
+    """A corner of the cube: every phase 0 or 8, by a hash bit."""
+    return ((nibbles(f"HC:{label}", places) & 1) * 8).astype(np.uint8)
+
+
+# The phase of each pair of trits, (0, 0) included, and the pair of each phase.
+TRITS_TO_PHASE = {(1, 0): 0, (1, 1): 2, (0, 1): 4, (-1, 1): 6, (-1, 0): 8, (-1, -1): 10, (0, -1): 12, (1, -1): 14, (0, 0): 0}
+PHASE_TO_FIRST = (1, 1, 1, 0, 0, 0, -1, -1, -1, -1, -1, 0, 0, 0, 1, 1)
+PHASE_TO_SECOND = (0, 1, 1, 1, 1, 1, 1, 0, 0, -1, -1, -1, -1, -1, -1, 0)
+
+
+def phases_of_trits(trits_: Column) -> Column:
+    """A phase per pair of trits. Pairs of zeros become 0, which doesn't come back."""
+    by_pair = table(tuple(TRITS_TO_PHASE[a, b] for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    return let(trits_, lambda t: F.transform(F.sequence(F.lit(1), F.size(t), F.lit(2)), lambda k: F.element_at(by_pair, 3 * (F.element_at(t, k) + 1) + F.element_at(t, k + 1) + 2)))
+
+
+def trits_of_phases(mark: Column) -> Column:
+    first, second = table(PHASE_TO_FIRST), table(PHASE_TO_SECOND)
+    return F.flatten(F.transform(mark, lambda p: F.array(F.element_at(first, p + 1), F.element_at(second, p + 1))))
+
+
+def harmonics(position: Column, moduli: tuple[int, ...], highest: int) -> list[Column]:
+    """Cosine and sine of each harmonic of a position on each ring."""
+    turn = lambda h, m: F.lit(2 * np.pi * h / m) * F.pmod(position, F.lit(m))
+    return [f(turn(h, m)) for m in moduli for h in range(1, highest + 1) for f in (F.cos, F.sin)]
+
+
+def nearest_phases(v: np.ndarray) -> np.ndarray:
+    """The nearest of 16 phases of complex numbers."""
+    return np.mod(np.rint(np.angle(v) * 8 / np.pi), 16).astype(np.uint8)
+
+
+def quantized_slot(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """A complex slot as int8 parts under one scale, rounded half to even; scale 0 for an empty one."""
+    top = max(np.abs(v.real).max(initial=0), np.abs(v.imag).max(initial=0))
+    scale = float(top) / 127
+    parts = [np.rint(x / scale).astype(np.int8) if scale else np.zeros(len(v), np.int8) for x in (v.real, v.imag)]
+    return parts[0], parts[1], scale
+
+
+def bundled_phases(marks: np.ndarray) -> np.ndarray:
+    """Phases of the sum of marks (rows)."""
+    c, s = np.asarray(C8, dtype=np.int64), np.asarray(S8, dtype=np.int64)
+    return sectors(c[marks].sum(0), s[marks].sum(0))
+
+
 def fnv1a64(data: bytes) -> int:
     h = FNV_OFFSET
     for b in data:

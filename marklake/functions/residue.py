@@ -44,3 +44,8 @@ def checked(parts: list[Column]) -> Column:
 def address(key: Column, space: int = ADDRESS_SPACE) -> Column:
     """Address of a key by a digest's first 60 bits."""
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint"), F.lit(space))
+
+
+def advanced(parts: list[Column], steps: Column, moduli: tuple[int, ...] = RINGS) -> list[Column]:
+    """Residues some ticks on. Four rings come round after 1,365; with the check ring a number beyond is illegal."""
+    return [F.pmod(p + steps, F.lit(m)) for p, m in zip(parts, moduli)]

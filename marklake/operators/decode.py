@@ -112,11 +112,51 @@ def from_residues(parts: list[int]) -> tuple[int, str]:
     return x, "VERIFIED" if x < STATES else "REJECTED"
 
 
+def sieved(slot: np.ndarray, places: int, seed: int) -> tuple[int, str] | None:
+    """The number of a clean slot: raised to the product of the other rings, every place keeps one ring's turn only."""
+    if not np.allclose(np.abs(slot), 1, atol=1e-3):
+        return None
+    rings, parts = (*RINGS, CHECK), []
+    for k, m in enumerate(rings):
+        power = prod(rings) // m
+        r = int((books(places, seed)[k].conj() @ (slot / np.abs(slot)) ** power).real.argmax())
+        parts.append(r * pow(power, -1, m) % m)
+    return from_residues(parts)
+
+
+class Learner:
+    """Which reader to try first, learned per kind of slot: Beta posteriors, sampled with a fixed seed, one reward per slot."""
+
+    def __init__(self, arms: tuple[str, ...] = ("scan", "peel", "ladder"), seed: int = 0) -> None:
+        self.arms, self.rng = arms, np.random.default_rng(seed)
+        self.wins: dict[tuple[str, str], list[float]] = {}
+
+    @staticmethod
+    def kind(slot: np.ndarray) -> str:
+        size = float(np.abs(slot).mean())
+        return "empty" if size < 1e-9 else "clean" if size < 1.05 else "few" if size < 4 else "crowded"
+
+    def choose(self, kind: str) -> str:
+        draws = [self.rng.beta(*self.wins.setdefault((kind, a), [1.0, 1.0])) for a in self.arms]
+        return self.arms[int(np.argmax(draws))]
+
+    def learn(self, kind: str, arm: str, reward: float) -> None:
+        post = self.wins.setdefault((kind, arm), [1.0, 1.0])
+        post[0] += reward
+        post[1] += 1 - reward
+
+    def best(self, kind: str) -> str:
+        return max(self.arms, key=lambda a: self.wins.get((kind, a), [1.0, 1.0])[0] / sum(self.wins.get((kind, a), [1.0, 1.0])))
+
+
 def laddered(slot: np.ndarray, places: int, seed: int) -> tuple[list[tuple[int, float]], str]:
-    """Readers from cheap to dear: resonance for one clear member, then the whole lattice, then explaining away; which one answered, or ABSTAIN."""
+    """Readers from cheap to dear: the sieve for a clean member, resonance for a noisy one, then the whole lattice, then explaining away; which one answered, or ABSTAIN."""
     size = np.abs(slot).mean()
     if not size > 1e-9:
         return [], "ABSTAIN"
+    clean = sieved(slot, places, seed)
+    if clean and clean[1] == "VERIFIED" and (lattice(places, seed)[clean[0]].conj() @ slot).real / places >= 0.9:
+        return [(clean[0], 1.0)], "SIEVE"
     parts, confidence = resonated(slot, places, seed)
     x, status = from_residues(parts)
     if status == "VERIFIED" and confidence >= 0.5 and (lattice(places, seed)[x].conj() @ slot).real / places >= 0.9 and size < 1.1:

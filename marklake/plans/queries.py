@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marklake.operators.drift import consistent_values, schema_changes
 from marklake.operators.nested import child_table, merged_schema, shredded
 from marklake.operators.spikes import implausible
-from marklake.plans import reference, reference_more
+from marklake.plans import reference, reference_more, reference_vectors
 from marklake.plans.problems_sql import P1, P6
 from marklake.sources.shared import table
 
@@ -43,7 +43,7 @@ def p6_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 flagship = reference.flagship
-assert reference_more  # registers its queries
+assert reference_more and reference_vectors  # they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -170,9 +170,9 @@ _WORDS = "[A-Za-z'']+"
 @query(rf"""with d as (select doc_id, text, list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: trim(x) <> '') as lines from documents where text is not null),
 p as (select *, array_to_string(list_filter(lines, lambda x: not regexp_matches(x, '^\s*(?:\||[-*]\s|\d+[.)]\s)')), ' ') as prose, regexp_extract_all(text, '{_WORDS}', 0) as words from d),
 s as (select *, list_filter(string_split_regex(prose, '[.!?]\s+'), lambda x: regexp_matches(x, '[0-9A-Za-z_]')) as sents from p),
-l as (select *, case when len(sents) > 0 then list_transform(sents, lambda x: len(regexp_extract_all(x, '{_WORDS}', 0))::double) else [0.0::double] end as n, greatest(length(regexp_replace(lower(text), '[^a-z]', '', 'g')), 1) as letters from s)
+l as (select *, case when len(sents) > 0 then list_transform(sents, lambda x: len(regexp_extract_all(x, '{_WORDS}', 0))::double) else [0.0::double] end as n, greatest(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')), 1) as letters from s)
 select doc_id, cast(len(words) as bigint) as words, cast(coalesce(list_sum(list_transform(words, lambda w: greatest(1, len(regexp_extract_all(lower(w), '[aeiouy]+', 0))))), 0) as bigint) as syllables,
-round(length(regexp_replace(lower(text), '[^lmnrwy]', '', 'g')) / letters::double, 6) as sonority, round(length(regexp_replace(lower(text), '[^pbtdkg]', '', 'g')) / letters::double, 6) as plosive from l""")
+round(length(regexp_replace(lower(text), '[^aeiouylmnrw]', '', 'g')) / letters::double, 6) as sonority, round(length(regexp_replace(lower(text), '[^ptkbdg]', '', 'g')) / letters::double, 6) as plosive from l""")
 def text_style(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
     s = X.style(F.col("text"))

@@ -138,7 +138,14 @@ def test_slots_come_back(spark):
     for reader in ("scan", "peel", "ladder"):
         found = {(r.slot, m.x) for r in decode.read(slots, reader).collect() for m in r.members}
         assert found == set(members), reader
-    assert {r.slot: r.rung for r in decode.read(slots, "ladder").collect()}[0] == "RESONATE"
+    assert {r.slot: r.rung for r in decode.read(slots, "ladder").collect()}[0] == "SIEVE"
+    noisy = decode.encoded(np.array([77]))[0] + 0.2 * np.random.default_rng(0).standard_normal(decode.PLACES)
+    assert decode.laddered(noisy, decode.PLACES, 0)[1] == "RESONATE" and decode.laddered(noisy, decode.PLACES, 0)[0][0][0] == 77
+    learner = decode.Learner()
+    for _ in range(60):
+        arm = learner.choose("few")
+        learner.learn("few", arm, float(arm == "peel"))
+    assert learner.best("few") == "peel"
     empty = np.zeros(decode.PLACES, dtype=complex)
     assert decode.laddered(empty, decode.PLACES, 0) == ([], "ABSTAIN")
     assert decode.from_residues([x % m for x, m in zip([77] * 5, (3, 5, 7, 13, 17))]) == (77, "VERIFIED")
