@@ -24,6 +24,18 @@ def numbered(df: DataFrame, key: str, cut: Column, order: list[str], name: str =
     return out.withColumn(name, (F.col("_before") + F.col("_local")).cast("long")).drop("_key", "_at", "_before", "_local", "_cut")
 
 
+def carried(df: DataFrame, key: str, cut: Column, order: list[Column], value: str, name: str) -> DataFrame:
+    """df with the last known value of the key up to each row in order: within the row's cut, else the last one of an earlier cut."""
+    rows = df.where(F.col(key).isNotNull()).withColumn("_cut", cut).where(F.col("_cut").isNotNull())
+    local = F.last(value, True).over(Window.partitionBy(key, "_cut").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = rows.where(F.col(value).isNotNull()).groupBy(key, "_cut").agg(F.max_by(value, F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])).alias("_end"))
+    every = rows.select(key, "_cut").distinct().join(ends, [key, "_cut"], "left")
+    before = F.last("_end", True).over(Window.partitionBy(key).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1))
+    starts = every.select(F.col(key).alias("_key"), F.col("_cut").alias("_at"), before.alias("_start"))
+    out = rows.withColumn("_local", local).join(starts, (F.col(key) == F.col("_key")) & (F.col("_cut") == F.col("_at")))
+    return out.withColumn(name, F.coalesce("_local", "_start")).drop("_key", "_at", "_start", "_local", "_cut")
+
+
 def folded(df: DataFrame, key: str, cut: Column, order: list[str], element: Column, merge, zero: Column) -> DataFrame:
     """(key, folded): the elements of each key merged in order, first within cuts, then across them. merge(a, b): a before b; associative with neutral `zero`."""
     rows = df.where(F.col(key).isNotNull()).select(F.col(key), cut.alias("_cut"), F.struct(*order).alias("_order"), element.alias("_e"))

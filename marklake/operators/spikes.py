@@ -6,7 +6,7 @@
 * Spike: at most three readings in a row that leap away from the level before and after. Each piece of a source's series is a profile matrix, a profile of
   consecutive readings per row. Robust principal components (principal component pursuit by augmented Lagrangians) split it into a low-rank part, the source's
   normal behaviour, and sparse residuals, the candidates. A candidate counts if it lies beyond both neighbouring levels (medians of five
-  readings) by `leap_times` the source's short-term scatter, which comes from quantiles of the differences between consecutive readings. Latencies are compared by their logarithm.
+  readings) by `leap_times` the source's short-term scatter, and beyond the readings beside it by half as much; the scatter comes from quantiles of the differences between consecutive readings. Latencies are compared by their logarithm.
 
 A source may hold any share of the rows: its readings are cut by time, numbered through prefix sums over the cuts and put into pieces of
 `piece` readings with the neighbours that the tests need; no window or group spans a whole source except over a row per cut or piece.
@@ -98,9 +98,12 @@ def leaps(x: np.ndarray, candidate: np.ndarray, times: float, around: int = 5, l
         at = np.arange(n - size + 1)
         before, after = level[at], level[at + size + around]
         group = np.lib.stride_tricks.sliding_window_view(x, size)
-        beyond = np.maximum(group.min(1) - np.fmax(before, after), np.fmin(before, after) - group.max(1))
+        low, high = group.min(1), group.max(1)
+        left, right = padded[at + around - 1], padded[at + size + around]  # the readings beside it: a longer excursion is no leap
+        up = (low - np.fmax(before, after) > times) & (low - np.fmax(left, right) > times / 2)
+        down = (np.fmin(before, after) - high > times) & (np.fmin(left, right) - high > times / 2)
         both = np.isfinite(before) & np.isfinite(after)
-        hit = both & (beyond > times) & np.lib.stride_tricks.sliding_window_view(candidate, size).any(1)
+        hit = both & (up | down) & np.lib.stride_tricks.sliding_window_view(candidate, size).any(1)
         for k in range(size):
             out[at[hit] + k] = True
     return out

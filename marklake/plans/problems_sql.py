@@ -5,7 +5,7 @@ from __future__ import annotations
 _LEAPS = " union all ".join(
     f"""select host, field, n, {size} as size from (select *, min(x) over (w rows between current row and {size - 1} following) as low, max(x) over (w rows between current row and {size - 1} following) as high,
 quantile_cont(x, 0.5) over (w rows between 5 preceding and 1 preceding) as b, count(x) over (w rows between 5 preceding and 1 preceding) as nb, quantile_cont(x, 0.5) over (w rows between {size} following and {size + 4} following) as a, count(x) over (w rows between {size} following and {size + 4} following) as na,
-count(x) over (w rows between current row and {size - 1} following) as own from s window w as (partition by host, field order by n)) join scale using (host, field) where nb >= 2 and na >= 2 and own = {size} and total >= 5 and greatest(low - greatest(a, b), least(a, b) - high) / greatest(scale, 1e-9) > 6"""
+count(x) over (w rows between current row and {size - 1} following) as own, lag(x) over w as l, lead(x, {size}) over w as r from s window w as (partition by host, field order by n)) join scale using (host, field) where nb >= 2 and na >= 2 and own = {size} and total >= 5 and ((low - greatest(a, b) > 6 * greatest(scale, 1e-9) and low - greatest(l, r) > 3 * greatest(scale, 1e-9)) or (least(a, b) - high > 6 * greatest(scale, 1e-9) and least(l, r) - high > 3 * greatest(scale, 1e-9)))"""
     for size in (1, 2, 3)
 )
 

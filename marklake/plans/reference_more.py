@@ -271,12 +271,12 @@ def gear_shifts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select e.event_id, o.o_orderkey as last_order from events e asof left join (select o_orderkey, o_custkey, o_orderdate from (select *, row_number() over (partition by o_custkey, o_orderdate order by o_orderkey desc) as r from orders) where r = 1) o on o.o_custkey = e.user_id and e.ts >= o.o_orderdate""")
 def as_of_order(spark: SparkSession, d: str) -> DataFrame:
-    """The latest order of the user before each event: both sides in one sort, the last order carried forward within cuts."""
+    """The latest order of the user before each event: both sides in one order, the last order carried forward within months and from month to month."""
     e = table(spark, d, "events").select(F.col("user_id").alias("k"), "ts", "event_id", F.lit(None).cast("long").alias("order"))
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("ts"), F.lit(None).cast("long").alias("event_id"), F.col("o_orderkey").alias("order"))
-    both = o.unionByName(e)
-    w = Window.partitionBy("k").orderBy("ts", F.col("event_id").asc_nulls_first(), "order").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("last_order", F.last("order", True).over(w)).where("event_id is not null").select("event_id", "last_order")
+    order = ["ts", F.coalesce("event_id", F.lit(-1)), F.coalesce("order", F.lit(-1))]  # at one time, orders come before events
+    out = folds.carried(o.unionByName(e), "k", F.date_trunc("month", F.col("ts")), order, "order", "last_order")
+    return out.where("event_id is not null").select("event_id", "last_order")
 
 
 # Sets and groupings of the host engine, within reach of all operators

@@ -57,6 +57,14 @@ def test_folds_don_t_depend_on_cuts(spark):
         assert [r.i for r in numbers] == list(range(len(numbers)))
 
 
+def test_carried_over_cuts(spark):
+    rows = [("a", k, v) for k, v in enumerate([None, 1, None, None, None, 2, None])] + [("b", 3, None), (None, 1, 9)]
+    df = spark.createDataFrame(rows, "k string, n long, v long")
+    for width in (1, 2, 100):
+        got = {(r.k, r.n): r.c for r in folds.carried(df, "k", F.floor(F.col("n") / width), ["n"], "v", "c").collect()}
+        assert [got["a", n] for n in range(7)] == [None, 1, 1, 1, 1, 2, 2] and got["b", 3] is None and len(got) == 8
+
+
 def test_strongest_and_counters(spark):
     df = spark.createDataFrame([("a", float(w), s) for s, w in enumerate([3, 1, 2, 2])], "g string, w double, s int")
     assert sorted(r.s for r in folds.strongest(df, "g", "w", "s", 2).collect()) == [0, 3]
