@@ -7,7 +7,7 @@ shares are added by blocks of words. Corpus passages are held against all item p
 per block; pairs above `least_cosine` are candidates. A candidate leaks if document and item share `run` words in a row (checked word by word).
 For paraphrases, candidates above `paraphrase_cosine` are scored by the longest common subsequence of words and by how many of the item's rarest words (its answer) the document's passage has.
 
-The items are the stated query set. They are taken in blocks of `block` items, so what goes to all workers (their words by rank, their passages) stays bounded whatever
+The items are the stated query set. They are taken in blocks of `block` items of 2,000 characters on average, so what goes to all workers (their words by rank, their passages) stays bounded whatever
 their number; documents are never collected, paired with each other or grouped.
 
 Defined results: null texts and ids are left out, items or documents with fewer than `run` words have no leaks, repeated rows and items count once, other columns are ignored, empty tables give no rows.
@@ -301,7 +301,8 @@ def leaked(
     item_kind = "bigint" if item_kind in ("tinyint", "smallint", "int", "bigint") else "string"
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where("id is not null and body is not null")
     wanted = items.select(F.col(item_col).cast(item_kind).alias("id"), F.col(item_text_col).alias("body")).where("id is not null and body is not null").distinct()
-    n_blocks = max(1, -(-wanted.count() // block))
+    sizes = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("body").cast("long")), F.lit(0)).alias("chars")).first()
+    n_blocks = max(1, -(-sizes.n // block), -(-sizes.chars // (block * 2_000)))
     results = []
     for b in range(n_blocks):
         rows = wanted.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).orderBy("id", "body").collect()
