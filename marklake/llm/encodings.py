@@ -76,6 +76,9 @@ def sequences(codec: str) -> re.Pattern:
 
 # Ranges of characters that texts are written with.
 _COMMON = ((0xA0, 0x17F), (0x192, 0x192), (0x218, 0x21B), (0x2C6, 0x2C7), (0x2D8, 0x2DD), (0x300, 0x30C), (0x384, 0x3CE), (0x400, 0x45F), (0x490, 0x491), (0x5D0, 0x5EA), (0x1E00, 0x1EFF), (0x200B, 0x206F), (0x20A0, 0x20BF), (0x2100, 0x214F), (0x2190, 0x22FF), (0xFB01, 0xFB02), (0xFFFD, 0xFFFD))
+# Ranges whose sequences also occur by chance, as a letter before an ellipsis and a quotation mark: they need company or a control among their bytes.
+_EXOTIC = ((0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x1F300, 0x1FAFF))
+_PRINTERS = frozenset("“”‘’„‚‹›«»…–—")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -116,7 +119,7 @@ def odd(run: str, before: str, after: str) -> int:
                 cost += 2
             elif script(p) and (not closing(c) and kind not in ("Pi", "Ps", "Pd") or c in "«‹‚„"):
                 cost += 2
-            elif kind == "Sc" or c in "¬√≈∆¶§¤¨´¸":
+            elif kind == "Sc" and c not in "€£$" or c in "¬√≈∆¶§¤¨´¸":
                 cost += 1
         elif script(c):
             cost += 2 * sum(script(o) not in ("", script(c)) for o in (p, n))
@@ -133,14 +136,20 @@ def goes_with(c: str, before: str, after: str) -> bool:
 def _utf8_layer(text: str, codec: str) -> tuple[str, int]:
     """The text with the UTF-8 sequences that stand decoded, and how many."""
     spans = [(m.start(), m.end(), made) for m in sequences(codec).finditer(text) if (made := decoded(codec, m.group())) is not None]
-    usual = [any(a <= ord(made) <= b for a, b in _COMMON) for _, _, made in spans]
+    within = lambda made, ranges: any(a <= ord(made) <= b for a, b in ranges)
+    exotic = [within(made, _EXOTIC) for _, _, made in spans]
+    usual = [within(made, _COMMON) for _, _, made in spans]
+    for k, (a, b, _) in enumerate(spans):
+        beside = [j for j in (k - 1, k + 1) if 0 <= j < len(spans) and exotic[j] and (spans[j][1] == a or spans[j][0] == b)]
+        usual[k] |= exotic[k] and bool(beside or b - a == 4 or any("\x80" <= c <= "\x9f" for c in text[a:b]))
     joined = [k > 0 and spans[k - 1][1] == spans[k][0] for k in range(len(spans))] + [False]
     drops = []
     for k, (a, b, made) in enumerate(spans):
         before = spans[k - 1][2] if joined[k] else text[a - 1 : a]
         after = spans[k + 1][2] if joined[k + 1] else text[b : b + 1]
         ok = usual[k] and goes_with(made, before, after)
-        drops.append(odd(text[a:b], text[a - 1 : a], text[b : b + 1]) - odd(made, before, after) if ok else -99)
+        sign = 2 * (b - a == 3 and ("‐" <= made <= "⁄" or made in "€™"))  # no word or sentence has the three characters these come from
+        drops.append(sign + odd(text[a:b], text[a - 1 : a], text[b : b + 1]) - odd(made, before, after) if ok else -99)
     sure = any(d >= 2 for d in drops)
     stands = [d >= 2 or sure and d >= 1 for d in drops]
     for way in (range(len(spans)), range(len(spans) - 1, -1, -1)):
@@ -199,9 +208,14 @@ class Pairs:
                 self.gained.clear()
             cost = self.cost(word)
             made = {k: t for k, p in enumerate(ONE_BYTE) if (t := translated(word, *p)) is not None and t != word} if cost > self.usual * (len(word) + 1) else {}
-            out = self.gained[word] = [(k, gain) for k, t in made.items() if (gain := cost - self.cost(t)) > 0]
+            out = self.gained[word] = [(k, gain) for k, t in made.items() if (gain := self.gain(word, t)) > 0]
         return out
 
+    def gain(self, word: str, made: str) -> float:
+        """By how many nats the word gets likelier; printers' marks alone are no garbling."""
+        gain = self.cost(word) - self.cost(made)
+        return min(gain, 0.0) if all(a == b or a in _PRINTERS for a, b in zip(word, made)) else gain
+
     def pair(self, a: str, b: str) -> float:
         one = (self.all.get(b, 0) + 0.05) / (self.total + self.kinds)
         if len(self.nats) > 500_000:
@@ -247,7 +261,7 @@ def one_byte_repaired(text: str, pairs: Pairs, least: float, least_per_char: flo
         total, changed, begin = 0.0, 0, None
         for k in range(0, len(parts), 2):
             made = translated(parts[k], wrong, meant)
-            gain = -1e9 if made is None else pairs.cost(parts[k]) - pairs.cost(made) if made != parts[k] else 0.0
+            gain = -1e9 if made is None else pairs.gain(parts[k], made) if made != parts[k] else 0.0
             if total + gain <= 0 or (begin is None and gain <= 0):
                 total, changed, begin = 0.0, 0, None
                 continue

@@ -2,7 +2,7 @@ import pytest
 
 from marklake.llm.encodings import LEGACY, Pairs, bytes_of, decoded, judged, letter_pairs, repaired
 
-CLEAN = ["SÃO PAULO", "Ã or ã?", "ÀÉÎÕÜ Ålund Østvik", "20 °C, ±3 µm", "©2031 Name™ £40 / €35", "«СССР» и «НАТО»", "x² + y³ Δφ ≈ π/8", "三角形のテスト 🙂🚀", "a‍b​c", "“été” — l’été… «été»", "хлёлёны ЁЛСТАЦАДОМТО", "é̈", "", " ", None, "plain"]
+CLEAN = ["SÃO PAULO", "Ã or ã?", "ÀÉÎÕÜ Ålund Østvik", "20 °C, ±3 µm", "©2031 Name™ £40 / €35", "«СССР» и «НАТО»", "x² + y³ Δφ ≈ π/8", "三角形のテスト 🙂🚀", "a‍b​c", "“été” — l’été… «été»", "хлёлёны ЁЛСТАЦАДОМТО", "é̈", "", " ", None, "plain", "ныйпри. ‘умшу’ … “умшу” — «умшу»", "été…» où…» 東京 7"]
 
 
 @pytest.fixture(scope="module")
@@ -55,12 +55,12 @@ def test_one_byte_encodings_come_back(corpus, wrong, meant, least):
 
 def test_clean_texts_and_lost_ones(spark, corpus):
     pairs, clean = corpus
-    rows = [(k, t, "clash") for k, t in enumerate(CLEAN)] + [(100, "caf� au", ""), (101, "caf� nÃ©e", ""), (None, "une nÃ©eau", ""), (102, "une nÃ©eau", ""), (102, "une nÃ©eau", "")]
+    rows = [(k, t, "clash") for k, t in enumerate(CLEAN)] + [(100, "caf� au", ""), (101, "caf� nÃ©e", ""), (None, "une nÃ©eau", ""), (102, "une nÃ©eau", ""), (102, "une nÃ©eau", ""), (103, "ici æ\x9d±äº¬ 7", ""), (104, "brinmorcor. ≡ƒÖé≡ƒÜÇ", ""), (105, "nur ‚Ç¨35", ""), (106, "a. ‚Äôtis so", "")]
     rows += [(1000 + k, t, "") for k, t in enumerate(clean.values())]
     got = repaired(spark.createDataFrame(rows, "doc_id long, text string, garbled string")).collect()
     assert len(got) == len(rows)
     bad = {(r.doc_id, r.restored, r.complete) for r in got if r.garbled}
-    assert bad == {(100, "caf� au", False), (101, "caf� née", False), (None, "une néeau", True), (102, "une néeau", True)}
+    assert bad == {(100, "caf� au", False), (101, "caf� née", False), (None, "une néeau", True), (102, "une néeau", True), (103, "ici 東京 7", True), (104, "brinmorcor. 🙂🚀", True), (105, "nur €35", True), (106, "a. ’tis so", True)}
     assert repaired(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
