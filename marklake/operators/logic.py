@@ -64,8 +64,8 @@ def fired(rule: Rule, facts: DataFrame, delta: DataFrame) -> DataFrame:
     return out
 
 
-def chained(facts: DataFrame, rules: list[Rule], most: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """(beliefs with their depth, justifications). Depth 0 is given; a derived fact's is the round that first gave it: 1 more than the deepest premise of its shallowest proof."""
+def chained(facts: DataFrame, rules: list[Rule], most: int = 10_000, justify: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(beliefs with their depth, justifications). Depth 0 is given; a derived fact's is the round that first gave it: 1 more than the deepest premise of its shallowest proof. Without `justify` no justifications are kept."""
     base = written(facts.select("pred", "args").where("pred is not null and args is not null").distinct().withColumn("depth", F.lit(0).cast("long")), "beliefs")
     beliefs, delta, uses, depth = base, base, None, 0
     while depth < most:
@@ -76,8 +76,9 @@ def chained(facts: DataFrame, rules: list[Rule], most: int = 10_000) -> tuple[Da
             step = use if step is None else step.unionByName(use)
         if step is None:
             break
-        step = written(step.distinct(), "uses")
-        uses = step if uses is None else uses.unionByName(step)
+        if justify:
+            step = written(step.distinct(), "uses")
+            uses = step if uses is None else uses.unionByName(step)
         delta = written(step.select("pred", "args").distinct().join(beliefs, ["pred", "args"], "left_anti").withColumn("depth", F.lit(depth).cast("long")), "beliefs")
         if delta.isEmpty():
             break
@@ -89,8 +90,8 @@ def chained(facts: DataFrame, rules: list[Rule], most: int = 10_000) -> tuple[Da
 
 def retracted(facts: DataFrame, rules: list[Rule], gone: DataFrame) -> DataFrame:
     """The beliefs (pred, args) lost with the facts `gone`: what chained before and does not without them."""
-    before, _ = chained(facts, rules)
-    after, _ = chained(facts.join(gone.select("pred", "args"), ["pred", "args"], "left_anti"), rules)
+    before, _ = chained(facts, rules, justify=False)
+    after, _ = chained(facts.join(gone.select("pred", "args"), ["pred", "args"], "left_anti"), rules, justify=False)
     return before.select("pred", "args").join(after, ["pred", "args"], "left_anti")
 
 
@@ -130,5 +131,5 @@ def proved(goals: DataFrame, facts: DataFrame, rules: list[Rule]) -> DataFrame:
         reach |= wanted
         wanted = {a[0] for rule in rules if rule.head[0] in reach for a in rule.body} | reach
     needed = [rule for rule in rules if rule.head[0] in reach]
-    beliefs, _ = chained(facts.where(F.col("pred").isin(sorted(reach))), needed)
+    beliefs, _ = chained(facts.where(F.col("pred").isin(sorted(reach))), needed, justify=False)
     return goals.select("pred", "args").distinct().join(beliefs.select("pred", "args").withColumn("proved", F.lit(True)), ["pred", "args"], "left").fillna(False, ["proved"])
