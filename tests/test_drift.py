@@ -56,3 +56,74 @@ def test_consistent_table(spark):
     values, files = run(spark, {"/a": 1}, {"/b": 1.01}, {"/c": 1.02}, {"/c": (None, "1.03 s")})
     rows = sorted((r.file, r.path, r.name, r.cast, r.text) for r in consistent_values(values, files).collect())
     assert rows == [("f0", "/a", "/c", "text", "1.0"), ("f1", "/b", "/c", "text", "1.01"), ("f2", "/c", "/c", "text", "1.02"), ("f3", "/c", "/c", "text", "1.03 s")]
+
+
+def by_hand(values, files):
+    """The changes of all files by loops over dictionaries, an independent reading of the rules."""
+    import re
+    from collections import defaultdict
+
+    number = re.compile(r"[~≈<>=\s]*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s*(?:[a-zA-Zµ%/°]{1,8})?\s*(?:\([^()]*\))?\s*")
+    order = defaultdict(list)
+    for f in sorted(files, key=lambda f: (f.written_at, f.file)):
+        order[f.exp].append(f.file)
+    leaves = defaultdict(dict)
+    for v in values:
+        leaves[v.file][v.path] = v
+
+    def kind(v):
+        if v.text == "None" or (v.text is None and v.num is None):
+            return None
+        return "number" if v.text is None else "flag" if v.text in ("True", "False") else "text"
+
+    def fields(file):
+        out, groups = {}, defaultdict(dict)
+        for p, v in leaves[file].items():
+            m = re.fullmatch(r"(.*)(?:/(\d+)|\[(len|mean)\]|/(value|unit))", p)
+            if m:
+                groups[m[1]][m[2] or m[3] or m[4]] = (p, v)
+        taken = set()
+        for g, own in groups.items():
+            digits = sorted(int(k) for k in own if k.isdigit())
+            for t, keys in (("list", [str(k) for k in digits] if digits and digits == list(range(len(digits))) else []), ("list", ["len", "mean"]), ("object", ["value", "unit"])):
+                if keys and all(k in own for k in keys):
+                    taken |= {own[k][0] for k in keys}
+                    nums = [own[k][1].num for k in keys if k != "len" and own[k][1].num is not None]
+                    out[g] = (t, sum(nums) / len(nums) if nums else None, own["unit"][1].text if t == "object" else "")
+        for p, v in leaves[file].items():
+            if p not in taken:
+                t = kind(v)
+                m = number.fullmatch(v.text) if t == "text" else None
+                out[p] = (t, v.num if t == "number" else float(m[1]) if m else None, "" if m or t == "number" else v.text)
+        return out
+
+    found = set()
+    for names in order.values():
+        before, last = {}, {}
+        for k, file in enumerate(names):
+            now = fields(file)
+            if k:
+                gone, new = sorted(set(before) - set(now)), sorted(set(now) - set(before))
+                pairs = sorted(
+                    (abs(now[b][1] - last[a][1]) if now[b][1] is not None else 0, a, b)
+                    for a in gone
+                    for b in new
+                    if a in last and last[a][0] == now[b][0] and last[a][2] == now[b][2] and ((last[a][1] is None and now[b][1] is None) or (last[a][1] is not None and now[b][1] is not None and abs(now[b][1] - last[a][1]) <= 0.05 * abs(last[a][1])))
+                )
+                for _, a, b in pairs:
+                    if a in gone and b in new:
+                        found.add((file, "renamed", a, b))
+                        gone.remove(a)
+                        new.remove(b)
+                found |= {(file, "removed", p, "") for p in gone} | {(file, "added", p, "") for p in new}
+                found |= {(file, "type_changed", p, "") for p in set(now) & set(before) if p in last and now[p][0] and last[p][0] != now[p][0]}
+            last = {p: (v if v[0] else last.get(p)) for p, v in now.items() if v[0] or p in last}
+            before = now
+    return found
+
+
+def test_equal_to_loops_over_the_data(spark):
+    folder = "/root/testdata/sf0.01"
+    values, files = spark.read.parquet(f"{folder}/results.parquet"), spark.read.parquet(f"{folder}/result_files.parquet")
+    got = {tuple(r) for r in schema_changes(values, files).select("file", "change", "path", "new_path").collect()}
+    assert got == by_hand(values.collect(), files.collect())
