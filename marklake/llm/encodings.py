@@ -207,8 +207,8 @@ class Pairs:
             if len(self.gained) > 200_000:
                 self.gained.clear()
             cost = self.cost(word)
-            made = {k: t for k, p in enumerate(ONE_BYTE) if (t := translated(word, *p)) is not None and t != word} if cost > self.usual * (len(word) + 1) else {}
-            out = self.gained[word] = [(k, gain) for k, t in made.items() if (gain := self.gain(word, t)) > 0]
+            pairs = sensible("".join(sorted({c for c in word if c > "\x7f"}))) if cost > self.usual * (len(word) + 1) else ()
+            out = self.gained[word] = [(k, gain) for k in pairs if (gain := self.gain(word, translated(word, *ONE_BYTE[k]))) > 0]
         return out
 
     def gain(self, word: str, made: str) -> float:
@@ -245,6 +245,17 @@ def translated(word: str, wrong: str, meant: str) -> str | None:
     return None if "\ufffe" in made else made
 
 
+@lru_cache(maxsize=1 << 16)
+def sensible(foreign: str) -> tuple[int, ...]:
+    """Which of ONE_BYTE's pairs turn all these characters into what texts are written with, and change one."""
+    out = []
+    for k, pair in enumerate(ONE_BYTE):
+        made = translated(foreign, *pair)
+        if made is not None and made != foreign and all(c.isalpha() or unicodedata.category(c)[0] == "P" or c in "€£§©®™°№µ±\xa0" for c in made):
+            out.append(k)
+    return tuple(out)
+
+
 def one_byte_repaired(text: str, pairs: Pairs, least: float, least_per_char: float) -> tuple[str, str | None]:
     """The text with its best run of words decoded as it was meant, and by which encodings."""
     hoped: dict[int, float] = {}
