@@ -6,8 +6,9 @@ what it may have been; the result stands if a garbling cost drops. This is repea
 * Intended UTF-8: every sequence of characters whose legacy bytes form one UTF-8 character is a tentative repair. It stands if it
   removes what no orthography has (controls, line-drawing or other symbols inside words, alphabets mixed within a word, capitals after small letters) and
   its character goes with its neighbours', or if it adjoins another repair.
-* Intended a one-byte encoding: any bytes decode, so the cost is the negative log likelihood under letter pairs counted over all documents of the
-  corpus. A run of words is repaired if its likelihood rises by `least` nats in total and by `least_per_char` for each character that changes.
+* Intended a one-byte encoding: any bytes decode, so the cost is the negative log likelihood under letter pairs counted over the documents of the
+  corpus. What is garbled must not make its own letters usual, whatever its share: of a text with words that no orthography has (`suspicious`), the foreign words count
+  in the one reading that fits an alphabet, or not at all. A run of words is repaired if its likelihood rises by `least` nats in total and by `least_per_char` for each character that changes.
 
 Replacement characters (U+FFFD) show lost text: such a record is garbled, and not complete. Counted pairs are few (alphabets squared) and go to all workers.
 
@@ -306,6 +307,56 @@ def _named(made: tuple[str, str | None]) -> tuple[str, list[str]]:
     return made[0], [made[1]] if made[1] else []
 
 
+# Letters beyond a to z that occur together in one orthography.
+ALPHABETS = tuple(
+    frozenset(a)
+    for a in (
+        "ąćęłńóśźż", "áäčďéěíĺľňóôŕřšťúůýž", "áéíóöőúüű", "ăâîșțşţ", "čćđšž", "äöüß", "àâæçéèêëîïôœùûüÿ", "áéíñóúü", "àáâãçéêíóôõúü", "àèéìíîòóù", "åäöæøé", "áéíóúýþæöð", "âçğıîöşüû", "āčēģīķļņšūž", "ąčęėįšųūž", "äöõüšž", "éèëêïöüóá",
+        "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "абвгдеёжзійклмнопрстуўфхцчшыьэюя", "абвгдђежзијклљмнњопрстћуфхцчџш", "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰ",
+    )
+)
+
+
+@lru_cache(maxsize=1 << 16)
+def strange(word: str) -> bool:
+    return sum(map(str.isalpha, word)) >= 3 and odd(word, " ", " ") > 0
+
+
+@lru_cache(maxsize=1 << 16)
+def all_foreign(word: str) -> bool:
+    """No letter from a to z, but three or more Latin ones: what other alphabets look like in a Latin encoding."""
+    letters = [c for c in word if c.isalpha()]
+    return len(letters) >= 3 and all("\x7f" < c < "\u0100" for c in letters)
+
+
+def suspicious(foreign: list[str]) -> bool:
+    """Are these words, those of a text that aren't ASCII, partly such as no orthography has?"""
+    return any(map(strange, foreign)) or len({w for w in foreign if all_foreign(w)}) > 1
+
+
+def readings(words: list[str]) -> list[list[str]]:
+    """Different readings of garbled words under ONE_BYTE that have no strange words and the letters of one alphabet."""
+    found: list[list[str]] = []
+    for k in sensible("".join(sorted({c for w in words for c in w if c > "\x7f"}))):
+        made = [w.translate(translation(*ONE_BYTE[k])) for w in words]
+        letters = {c for w in made for c in w.lower() if c > "\x7f" and c.isalpha()}
+        if made not in found and any(letters <= a for a in ALPHABETS) and not suspicious(made):
+            found.append(made)
+    return found
+
+
+def countable(text: str) -> list[str]:
+    """The words of a text that count: of a suspicious one those of a to z, and the garbled ones if there is one way only to read them."""
+    words = text.split()
+    foreign = [w for w in words if not w.isascii()]
+    if not suspicious(foreign):
+        return words
+    read = readings(foreign)
+    if len(read) != 1:  # garbled in parts
+        read = readings([w for w in foreign if strange(w) or all_foreign(w)])
+    return [w for w in words if w.isascii()] + (read[0] if len(read) == 1 else [])
+
+
 def letter_pairs(df: DataFrame, text_col: str = "text") -> dict[tuple[str, str], int]:
     """Counts over all texts, added up where the texts lie. As many as alphabets have pairs, whatever the corpus' size."""
 
@@ -324,7 +375,7 @@ def letter_pairs(df: DataFrame, text_col: str = "text") -> dict[tuple[str, str],
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    words.update(text.split())
+                    words.update(text.split() if text.isascii() else countable(text))
             if len(words) > 100_000:
                 flush()
         flush()

@@ -66,3 +66,19 @@ def test_clean_texts_and_lost_ones(spark, corpus):
 
 def test_strict_decoding():
     assert decoded("cp1252", "Ã©") == "é" and decoded("cp1252", "Ã ") is None and decoded("cp1252", "ÃÃ") is None
+
+
+@pytest.mark.parametrize("wrong,meant,letters", [("cp1252", "cp1250", "ąęł"), ("cp1252", "cp1251", "ыие"), ("koi8_r", "cp1251", "ыие")])
+def test_wholly_garbled_language(spark, corpus, wrong, meant, letters):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    made = {}
+    for d, text in corpus[1].items():
+        if sum(c in letters for c in text) >= 6:
+            try:
+                made[d] = garbled(text, wrong, meant)
+            except (UnicodeEncodeError, KeyError):
+                docs[d] = None  # none of the language stays readable
+    rows = [(d, made.get(d, t)) for d, t in docs.items()]
+    got = {r.doc_id: r for r in repaired(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id in made}
+    assert len(made) > 40 and sum(r.garbled for r in got.values()) >= 0.98 * len(made)
+    assert sum(got[d].restored == corpus[1][d] for d in made) >= 0.9 * len(made)
