@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marklake.functions.phases import bundled_phases, codeword, nearest_phases
+from marklake.functions.phases import C8, S8, bundled_phases, codeword, nearest_phases, sectors
 
 TOKENS = r"[a-z0-9]{2,}"
 
@@ -45,11 +45,12 @@ def bucket_read(facts: DataFrame, keys: list[str], asked: DataFrame, n: int) ->
     return held.join(wanted, ["bucket", *keys]).drop("bucket")
 
 
-def _grams(text: str, most: int = 4000) -> list[str]:
+def _grams(text: str) -> list[str]:
+    """The different words and pairs of words of the whole text."""
     import re
 
-    tokens = re.findall(TOKENS, text.lower())[:most]
-    return [*dict.fromkeys(tokens), *dict.fromkeys(f"{a} {b}" for a, b in zip(tokens, tokens[1:]))][:most]
+    tokens = re.findall(TOKENS, text.lower())
+    return [*dict.fromkeys(tokens), *dict.fromkeys(f"{a} {b}" for a, b in zip(tokens, tokens[1:]))]
 
 
 def _trigrams(text: str) -> list[str]:
@@ -58,19 +59,23 @@ def _trigrams(text: str) -> list[str]:
 
 
 def text_marks(df: DataFrame, id_col: str, text_col: str, places: int = 256, grams: str = "words") -> DataFrame:
-    """(id, mark): the bundle of the codewords of a text's grams (words and pairs of words, or character trigrams). No grams give a null mark."""
+    """(id, mark): the bundle of the codewords of all of a text's grams (words and pairs of words, or character trigrams), added up in blocks. No grams give a null mark."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
+        cosine, sine = np.asarray(C8, dtype=np.int64), np.asarray(S8, dtype=np.int64)
         parts = _grams if grams == "words" else _trigrams
         for batch in batches:
             marks: list = []
             for text in batch.column(1).to_pylist():
                 own = parts(text) if text else []
-                if len(known) > 100_000:
-                    known.clear()
-                rows = [known[g] if g in known else known.setdefault(g, codeword(f"G:{g}", places)) for g in own]
-                marks.append(bundled_phases(np.stack(rows)).astype(np.int8).tolist() if rows else None)
+                re, im = np.zeros(places, dtype=np.int64), np.zeros(places, dtype=np.int64)
+                for k in range(0, len(own), 4000):
+                    if len(known) > 100_000:
+                        known.clear()
+                    rows = np.stack([known[g] if g in known else known.setdefault(g, codeword(f"G:{g}", places)) for g in own[k : k + 4000]])
+                    re, im = re + cosine[rows].sum(0), im + sine[rows].sum(0)
+                marks.append(sectors(re, im).astype(np.int8).tolist() if own else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.list_(pa.int8()))], ["id", "mark"])
 
     kind = df.schema[id_col].dataType.simpleString()

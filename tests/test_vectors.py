@@ -71,3 +71,14 @@ def test_prosody_and_kept(spark):
     p = X.prosody(F.col("t"))
     r = df.select(*[c.alias(k) for k, c in p.items()], X.kept(F.col("t"), F.col("f")).alias("kept")).collect()
     assert r[0].landing == pytest.approx(0.5) and r[0].rests == 0.5 and r[0].antithesis == pytest.approx(1 / 3) and r[0].triads >= 1 / 3 and 0 < r[0].kept < 1 and r[1].kept == 1.0
+
+
+def test_long_texts_are_marked_whole(spark):
+    words = [f"w{k}" for k in range(9000)]
+    grams = [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:5000])), (3, " ".join(words[:2]))]
+    df = spark.createDataFrame(rows, "id int, t string")
+    marks = {r.id: r.mark for r in frames.text_marks(df, "id", "t").collect()}
+    assert marks[1] == P.bundled_phases(np.stack([P.codeword(f"G:{g}", 256) for g in grams])).tolist()
+    assert marks[1] != marks[2] != marks[3]
+    assert [r.g for r in df.select(X.grams("t").alias("g")).orderBy("id").collect()] == [grams, [*words[:5000], *grams[9000:13999]], ["w0", "w1", "w0 w1"]]
