@@ -12,7 +12,8 @@ of type object. A number has `num` only, a flag text True or False, a text has t
 and is no change; the last known type and value go on.
 
 A value goes on if numbers differ by five percent of the old one at most (a list by its mean, an object by value with the same unit; also numbers that lead a text, such as
-"~1.02e+03", "0.27 ms" or "248.9 (est.)") and other texts are equal. If several fields could be the other's new name, numbers pair by least difference, equal texts and flags in the order of their last names; each has one partner at most.
+"~1.02e+03", "0.27 ms" or "248.9 (est.)") and other texts are equal. If several fields could be the other's new name, equal numbers pair first, in the order of their names, then the least differences, again and again until no two fit; equal texts and flags pair in the order of their last names; each
+has one partner at most.
 
 Defined results: identical rows count once, of differing rows for one path and file the greatest (text, num) holds; rows with a null file or path, files without producer or
 time, and values of files that are not registered are left out. Other columns are ignored; empty tables give no changes.
@@ -20,6 +21,8 @@ time, and values of files that are not registered are left out. Other columns ar
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,22 +96,37 @@ def _goes_by(df: DataFrame) -> DataFrame:
     return df.where("type is not null").withColumn("same", same).withColumn("near", near).where("near is not null or type in ('flag', 'text')")
 
 
+def _equal(sides: DataFrame) -> DataFrame:
+    """Ended and started numbers of one value (exp, seq, old, new), in the order of their names."""
+    key = ["exp", "seq", "type", "same", "near"]
+    ranked = sides.withColumn("k", F.row_number().over(Window.partitionBy(*key, "side").orderBy("field")))
+    old = ranked.where("side = 'ended'").select(*key, "k", F.col("field").alias("old"))
+    return old.join(ranked.where("side = 'started'").select(*key, "k", F.col("field").alias("new")), [*key, "k"]).select("exp", "seq", "old", "new")
+
+
 def _nearest(sides: DataFrame, tolerance: float) -> DataFrame:
-    """Mutually nearest ended and started numbers (exp, seq, old, new), found in sorted order, without pairing all."""
+    """Ended and started numbers that are each other's nearest of those that fit (exp, seq, old, new), found in sorted order, without pairing all. What fits a number is an interval around it, so the
+    next one on either side decides. Of equal numbers of one side the first name stands for all; of equal differences the lesser number counts. If any two fit, there is a pair."""
     group = ["exp", "seq", "type", "same"]
+    sides = sides.withColumn("k", F.row_number().over(Window.partitionBy(*group, "near", "side").orderBy("field"))).where("k = 1")
     w = Window.partitionBy(*group).orderBy("near", "side", "field")
     other = F.when(F.col("side") == "started", F.struct("near", "field"))
     mine = F.when(F.col("side") == "ended", F.struct("near", "field"))
     below, above = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
 
     def best(low: Column, high: Column) -> Column:
-        a, b = F.abs(F.col("near") - low["near"]), F.abs(high["near"] - F.col("near"))
-        return F.when(b.isNull() | (a <= b), low["field"]).otherwise(high["field"])
+        def away(other: Column) -> Column:
+            was = F.when(F.col("side") == "ended", F.col("near")).otherwise(other["near"])
+            by = F.abs(F.col("near") - other["near"])
+            return F.when(by <= tolerance * F.abs(was), by)
+
+        a, b = away(low), away(high)
+        return F.when(a.isNotNull() & (b.isNull() | (a <= b)), low["field"]).when(b.isNotNull(), high["field"])
 
     ranked = sides.withColumns({"s_low": F.last(other, True).over(below), "s_high": F.first(other, True).over(above), "e_low": F.last(mine, True).over(below), "e_high": F.first(mine, True).over(above)})
-    ended = ranked.where("side = 'ended'").select(*group, F.col("field").alias("old"), F.col("near").alias("was"), best(F.col("s_low"), F.col("s_high")).alias("new"))
-    started = ranked.where("side = 'started'").select(*group, F.col("field").alias("new"), F.col("near").alias("is"), best(F.col("e_low"), F.col("e_high")).alias("old"))
-    return ended.join(started, [*group, "old", "new"]).where(F.abs(F.col("is") - F.col("was")) <= tolerance * F.abs("was")).select("exp", "seq", "old", "new")
+    ended = ranked.where("side = 'ended'").select(*group, F.col("field").alias("old"), best(F.col("s_low"), F.col("s_high")).alias("new"))
+    started = ranked.where("side = 'started'").select(*group, F.col("field").alias("new"), best(F.col("e_low"), F.col("e_high")).alias("old"))
+    return ended.join(started, [*group, "old", "new"]).select("exp", "seq", "old", "new")
 
 
 def _without(sides: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -120,8 +138,12 @@ def renamings(sides: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """The alias table (exp, seq, old, new)."""
     sides = _goes_by(sides)
     numbers = sides.where("near is not null")
-    pairs = _nearest(numbers, tolerance)
-    pairs = pairs.unionByName(_nearest(_without(numbers, pairs), tolerance))
+    found = [_equal(numbers)]
+    left = written(_without(numbers, found[0]), "drift-left")
+    while not (more := written(_nearest(left, tolerance), "drift-nearest")).isEmpty():  # each round pairs the least difference that is left at least
+        found.append(more)
+        left = written(_without(left, more), "drift-left")
+    pairs = reduce(DataFrame.unionByName, found)
     w = Window.partitionBy("exp", "seq", "type", "same", "side").orderBy(F.element_at(F.split("field", "/"), -1), "field")
     texts = sides.where("near is null").withColumn("k", F.row_number().over(w))
     key = ["exp", "seq", "type", "same", "k"]

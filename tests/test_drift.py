@@ -127,3 +127,23 @@ def test_equal_to_loops_over_the_data(spark):
     values, files = spark.read.parquet(f"{folder}/results.parquet"), spark.read.parquet(f"{folder}/result_files.parquet")
     got = {tuple(r) for r in schema_changes(values, files).select("file", "change", "path", "new_path").collect()}
     assert got == by_hand(values.collect(), files.collect())
+
+
+def test_all_that_fit_are_paired(spark):
+    zeros = changes(spark, KEEP | {f"/a{k}": 0 for k in range(5)} | {"/x": 3}, KEEP | {f"/b{k}": 0 for k in range(5)} | {"/y": 3})
+    assert zeros == sorted([("f1", "renamed", f"/a{k}", f"/b{k}") for k in range(5)] + [("f1", "renamed", "/x", "/y")])
+    assert changes(spark, KEEP | {"/a": 100, "/b": 110.3}, KEEP | {"/c": 105.1}) == [("f1", "removed", "/a", ""), ("f1", "renamed", "/b", "/c")]
+    assert changes(spark, KEEP | {"/a": 50, "/b": 50}, KEEP | {"/c": 51}) == [("f1", "removed", "/b", ""), ("f1", "renamed", "/a", "/c")]
+    old, new = [100, 102, 103, 103.5, 103.7, 90], [103.8, 104.1, 104.6, 105.8, 103.9, 89]
+    got = run(spark, KEEP | {f"/a{k}": v for k, v in enumerate(old)}, KEEP | {f"/b{k}": v for k, v in enumerate(new)})
+    found = {tuple(r) for r in schema_changes(*got).select("file", "change", "path", "new_path").collect()}
+    assert found == by_hand(got[0].collect(), got[1].collect())
+
+
+def test_greedy_pairs_of_random_numbers(spark):
+    import random
+
+    r = random.Random(3)
+    got = run(spark, *[KEEP | {f"/{k}.{j}": round(r.uniform(90, 120), 3) for j in range(12)} for k in range(6)])
+    found = {tuple(r) for r in schema_changes(*got).select("file", "change", "path", "new_path").collect()}
+    assert found == by_hand(got[0].collect(), got[1].collect())
