@@ -208,7 +208,7 @@ class Pairs:
             if len(self.gained) > 200_000:
                 self.gained.clear()
             cost = self.cost(word)
-            pairs = sensible("".join(sorted({c for c in word if c > "\x7f"}))) if cost > self.usual * (len(word) + 1) else ()
+            pairs = decodable("".join(sorted({c for c in word if c > "\x7f"}))) if cost > self.usual * (len(word) + 1) else ()
             out = self.gained[word] = [(k, gain) for k in pairs if (gain := self.gain(word, translated(word, *ONE_BYTE[k]))) > 0]
         return out
 
@@ -246,6 +246,12 @@ def translated(word: str, wrong: str, meant: str) -> str | None:
     return None if "\ufffe" in made else made
 
 
+@lru_cache(maxsize=1 << 16)
+def decodable(foreign: str) -> tuple[int, ...]:
+    """Which of ONE_BYTE's pairs have all these characters, and change one."""
+    return tuple(k for k, pair in enumerate(ONE_BYTE) if (made := translated(foreign, *pair)) is not None and made != foreign)
+
+
 @lru_cache(maxsize=1 << 16)
 def sensible(foreign: str) -> tuple[int, ...]:
     """Which of ONE_BYTE's pairs turn all these characters into what texts are written with, and change one."""

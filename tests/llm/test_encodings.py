@@ -1,6 +1,6 @@
 import pytest
 
-from marklake.llm.encodings import LEGACY, Pairs, bytes_of, decoded, judged, letter_pairs, repaired
+from marklake.llm.encodings import LEGACY, ONE_BYTE, Pairs, bytes_of, decoded, judged, letter_pairs, repaired
 
 CLEAN = ["SÃO PAULO", "Ã or ã?", "ÀÉÎÕÜ Ålund Østvik", "20 °C, ±3 µm", "©2031 Name™ £40 / €35", "«СССР» и «НАТО»", "x² + y³ Δφ ≈ π/8", "三角形のテスト 🙂🚀", "a‍b​c", "“été” — l’été… «été»", "хлёлёны ЁЛСТАЦАДОМТО", "é̈", "", " ", None, "plain", "ныйпри. ‘умшу’ … “умшу” — «умшу»", "été…» où…» 東京 7"]
 
@@ -82,3 +82,8 @@ def test_wholly_garbled_language(spark, corpus, wrong, meant, letters):
     got = {r.doc_id: r for r in repaired(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id in made}
     assert len(made) > 40 and sum(r.garbled for r in got.values()) >= 0.98 * len(made)
     assert sum(got[d].restored == corpus[1][d] for d in made) >= 0.9 * len(made)
+
+
+def test_words_with_other_signs_count_for_what_is_hoped(corpus):
+    word = garbled("łąść×źdźwę", "cp1252", "cp1250")
+    assert ("cp1252", "cp1250") in [ONE_BYTE[k] for k, _ in corpus[0].gains(word)]
