@@ -30,7 +30,7 @@ def _event_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mark_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_neighbours(table(spark, sf_dir, "vm_lattice"), "mark_id", "lattice", 128, turn=16, per_code=4, probes=16)
+    return nearest_neighbours(table(spark, sf_dir, "vm_lattice"), "mark_id", "lattice", 128, turn=16, per_code=4, probes=32)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
