@@ -59,6 +59,23 @@ def unbound(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.pmod(x - y, F.lit(16)))
 
 
+def complex_bound(a: Column, b: Column) -> Column:
+    """Products, place by place, of complex vectors given as arrays of (re, im)."""
+    return F.zip_with(a, b, lambda x, y: F.struct((x["re"] * y["re"] - x["im"] * y["im"]).alias("re"), (x["re"] * y["im"] + x["im"] * y["re"]).alias("im")))
+
+
+def complex_unbound(a: Column, b: Column) -> Column:
+    """Products with the conjugates: undoes complex_bound where b has modulus 1."""
+    return complex_bound(a, F.transform(b, lambda y: F.struct(y["re"].alias("re"), (-y["im"]).alias("im"))))
+
+
+def ternary_bound(sign_a: Column, active_a: Column, sign_b: Column, active_b: Column) -> tuple[Column, Column]:
+    """(sign, active) of the product of trits, word by word: active where both are, negative where one is."""
+    active = F.zip_with(active_a, active_b, lambda x, y: x.bitwiseAND(y))
+    sign = F.zip_with(F.zip_with(sign_a, sign_b, lambda x, y: x.bitwiseXOR(y)), active, lambda x, y: x.bitwiseAND(y))
+    return sign, active
+
+
 def shifted(mark: Column, by: Column | int) -> Column:
     """Every phase turned by the same step, as when all members of a bundle get another time or role."""
     by = F.lit(by) if isinstance(by, int) else by
@@ -132,6 +149,10 @@ def rms_normed(vector: Column, eps: float = 1e-6) -> Column:
     return let(mean, lambda m: F.transform(vector, lambda x: x.cast("double") / F.sqrt(m + eps)))
 
 
+def rectified(vector: Column) -> Column:
+    return F.transform(vector, lambda x: F.greatest(x, F.lit(0).cast("double")))
+
+
 def polygon(k: Column, places: int, turns: int = 1) -> Column:
     """Phases k * w mod 16 over the places w: atom k of a regular polygon."""
     return F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda w: F.pmod(k * w * turns, F.lit(16)))
@@ -142,12 +163,30 @@ def simplex(k: Column, n: int, places: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda w: F.pmod(k * (w % (n - 1) + 1) * (16 // n), F.lit(16)))
 
 
+def orthogonal(k: Column, n: int, places: int) -> Column:
+    """Atom k of n axes of a harmonic frame, whose pairs have mean cosine 0; n divides 16 and the places."""
+    return F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda w: F.pmod(k * (w % n) * (16 // n), F.lit(16)))
+
+
 def cross_polytope(k: Column, n: int, places: int) -> Column:
-    """Atom k of 2n: n axes of a harmonic frame (n divides 16), then their opposites."""
-    axis = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda w: F.pmod((k % n) * (w % n) * (16 // n), F.lit(16)))
+    """Atom k of 2n: the n axes of a harmonic frame, then their opposites."""
+    axis = orthogonal(k % n, n, places)
     return F.when(k < n, axis).otherwise(shifted(axis, 8))
 
 
+def min_separation(atoms: DataFrame, mark_col: str) -> DataFrame:
+    """(separation): the least distance on the unit sphere, sqrt(2 - 2 cos), of two atoms of a codebook (a few thousand, held in one task); null for fewer than two."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = batch.column(0)[0].as_py()
+            z = np.exp(2j * np.pi * np.array(marks) / 16) if len(marks) > 1 else np.zeros((0, 1))
+            closest = max((float((z[k : k + 1] @ z[k + 1 :].conj().T).real.max()) / z.shape[1] for k in range(len(z) - 1)), default=None)
+            yield pa.RecordBatch.from_arrays([pa.array([None if closest is None else max(0.0, 2 - 2 * closest) ** 0.5], pa.float64())], ["separation"])
+
+    return atoms.agg(F.collect_list(mark_col).alias("m")).mapInArrow(go, "separation double")
+
+
 def hypercube(label: str, places: int) -> np.ndarray:
     """A corner of the cube: every phase 0 or 8, by a hash bit."""
     return ((nibbles(f"HC:{label}", places) & 1) * 8).astype(np.uint8)

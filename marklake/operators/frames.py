@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marklake.functions.phases import C8, S8, bundled_phases, codeword, nearest_phases, sectors
+from marklake.functions.phases import bundled_phases, codeword, sectors
+from marklake.sources.shared import summed
 
 TOKENS = r"[a-z0-9]{2,}"
 
@@ -45,61 +48,69 @@ def bucket_read(facts: DataFrame, keys: list[str], asked: DataFrame, n: int) ->
     return held.join(wanted, ["bucket", *keys]).drop("bucket")
 
 
-def _grams(text: str) -> list[str]:
-    """The different words and pairs of words of the whole text."""
-    import re
+# How two words join to a gram, the constants that mix a gram's digest with a place (of a public 32-bit finaliser), and the labels of a sensor's rates and roles.
+PAIR = "_"
+PLACE_STEP, PLACE_SHIFT, MIX_1, MIX_2 = 2654435761, 0x9E3779B9, 0x85EBCA6B, 0xC2B2AE35
+RATE_LABEL, ROLE_LABEL = "TEL:", "R:"
 
-    tokens = re.findall(TOKENS, text.lower())
-    return [*dict.fromkeys(tokens), *dict.fromkeys(f"{a} {b}" for a, b in zip(tokens, tokens[1:]))]
 
+def gram_marks(grams: list[str], places: int) -> np.ndarray:
+    """(grams, places): a phase per gram and place, the top four bits of a mixed digest."""
+    digests = np.frombuffer(b"".join(blake2b(g.encode(), digest_size=4).digest() for g in grams), dtype=">u4").astype(np.uint32)
+    place = np.arange(places, dtype=np.uint64) * np.uint64(PLACE_STEP) + np.uint64(PLACE_SHIFT)
+    x = digests[:, None] ^ place.astype(np.uint32)  # all in 32 bits, what overflows is lost
+    for shift, factor in ((0, MIX_1), (13, MIX_2)):
+        x = (x ^ x >> np.uint32(shift) if shift else x) * np.uint32(factor)
+    return ((x ^ x >> np.uint32(16)) >> np.uint32(28)).astype(np.uint8)
 
-def _trigrams(text: str) -> list[str]:
-    framed = f"#{text.lower()}#"
-    return [framed[k : k + 3] for k in range(max(1, len(framed) - 2))]
 
+def text_grams(text: str, kind: str = "words") -> list[str]:
+    """The different words, then pairs of neighbouring words, of the whole text; or its character trigrams, repeated ones kept."""
+    if kind == "trigrams":
+        framed = f"#{text.lower()}#"
+        return [framed[k : k + 3] for k in range(max(1, len(framed) - 2))]
+    found = re.findall(TOKENS, text.lower())
+    return [*dict.fromkeys(found), *dict.fromkeys(PAIR.join(pair) for pair in zip(found, found[1:]))]
 
-def text_marks(df: DataFrame, id_col: str, text_col: str, places: int = 256, grams: str = "words") -> DataFrame:
-    """(id, mark): the bundle of the codewords of all of a text's grams (words and pairs of words, or character trigrams), added up in blocks. No grams give a null mark."""
+
+def text_marks(df: DataFrame, id_col: str, text_col: str, places: int = 256, grams: str = "words", block: int = 2000) -> DataFrame:
+    """(id, mark): the phases of the sum of all of a text's grams, added up in blocks. No grams give a null mark."""
+    turn = np.arange(16) * (np.pi / 8)
+
+    def mark(text: str | None) -> list[int] | None:
+        own = text_grams(text, grams) if text else []
+        total = np.zeros((2, places))
+        for k in range(0, len(own), block):
+            phases = gram_marks(own[k : k + block], places)
+            total += np.stack([np.cos(turn)[phases].sum(0), np.sin(turn)[phases].sum(0)])
+        return sectors(*np.rint(total * 127)).astype(np.int8).tolist() if own else None
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-        cosine, sine = np.asarray(C8, dtype=np.int64), np.asarray(S8, dtype=np.int64)
-        parts = _grams if grams == "words" else _trigrams
         for batch in batches:
-            marks: list = []
-            for text in batch.column(1).to_pylist():
-                own = parts(text) if text else []
-                re, im = np.zeros(places, dtype=np.int64), np.zeros(places, dtype=np.int64)
-                for k in range(0, len(own), 4000):
-                    if len(known) > 100_000:
-                        known.clear()
-                    rows = np.stack([known[g] if g in known else known.setdefault(g, codeword(f"G:{g}", places)) for g in own[k : k + 4000]])
-                    re, im = re + cosine[rows].sum(0), im + sine[rows].sum(0)
-                marks.append(sectors(re, im).astype(np.int8).tolist() if own else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.list_(pa.int8()))], ["id", "mark"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mark(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int8()))], ["id", "mark"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(go, f"id {kind}, mark array<tinyint>").withColumnRenamed("id", id_col)
 
 
 def sensor_marks(df: DataFrame, id_col: str, fields: dict[str, tuple[float, float]], places: int = 256, spread: float = 2.0) -> DataFrame:
-    """(id, mark): named scalars within their ranges as one phase vector. A null or NaN contributes nothing; none at all gives a null mark."""
-    names = list(fields)
+    """(id, mark): named scalars within their ranges as one phase vector. Each field has a start angle and a rate per place, of at most `spread` turns over its range, and adds a unit vector turned by its
+    value. A null or NaN contributes nothing; none at all gives a null mark."""
+    names, (low, high) = list(fields), np.array(list(fields.values()), dtype=float).T
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speed = {n: (codeword(f"TEL:{n}", places) - 7.5) / 7.5 * spread for n in names}
-        role = {n: np.exp(2j * np.pi * codeword(f"R:{n}", places) / 16) for n in names}
-        for batch in batches:
-            total, some = np.zeros((batch.num_rows, places), dtype=np.complex128), np.zeros(batch.num_rows, dtype=bool)
-            for n in names:
-                low, high = fields[n]
-                x = batch.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        start = np.stack([codeword(ROLE_LABEL + n, places) for n in names]) * (np.pi / 8)
+        rate = np.stack([codeword(RATE_LABEL + n, places) / 7.5 - 1 for n in names]) * (2 * np.pi * spread)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                x = np.stack([batch.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names], 1)
                 there = ~np.isnan(x)
-                u = np.clip((np.where(there, x, low) - low) / (high - low), 0, 1)
-                total += there[:, None] * role[n][None] * np.exp(2j * np.pi * speed[n][None] * u[:, None])
-                some |= there
-            marks = nearest_phases(total).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([m.tolist() if s else None for m, s in zip(marks, some)], pa.list_(pa.int8()))], ["id", "mark"])
+                share = np.clip((np.where(there, x, low) - low) / (high - low), 0, 1)
+                angle = start[None] + rate[None] * share[:, :, None]
+                real, imaginary = (np.einsum("rf,rfp->rp", there, f(angle)) for f in (np.cos, np.sin))
+                marks = np.rint(np.arctan2(imaginary, real) * (8 / np.pi)).astype(np.int8) % 16
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([m.tolist() if t else None for m, t in zip(marks, there.any(1))], pa.list_(pa.int8()))], ["id", "mark"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), *[F.col(n).cast("double").alias(n) for n in names])
@@ -171,8 +182,8 @@ def whitening(df: DataFrame, vector_col: str, dims: int) -> tuple[np.ndarray, np
             total += x1.T @ x1
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    parts = df.select(vector_col).mapInArrow(go, "part binary").toLocalIterator()
-    total = sum((np.frombuffer(r.part).reshape(dims + 1, dims + 1) for r in parts), np.zeros((dims + 1, dims + 1)))
+    size = dims + 1
+    total = summed(df.select(vector_col).mapInArrow(go, "part binary"), size * size).reshape(size, size)
     n = max(total[-1, -1], 1.0)
     mean = total[-1, :-1] / n
     values, vectors = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))

@@ -303,7 +303,7 @@ def program_focus_sift(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with n as (select o_orderkey, list_transform(range(0, 8), lambda k: cast((o_orderkey * 7 + o_custkey * (k + 1)) % 120 as integer)) as n from orders)
-select o_orderkey, cast(list_sum(list_transform(range(0, 8), lambda k: (k + 1) * n[k + 1])) % 120 as bigint) as check_1, cast(list_sum(list_transform(range(0, 8), lambda k: ([2, 3, 5, 7, 11, 13, 17, 19])[k + 1] * n[k + 1])) % 103 as bigint) as check_2 from n""")
+select o_orderkey, cast(list_sum(list_transform(range(0, 8), lambda k: (k + 1) * n[k + 1])) % 120 as bigint) as check_1, cast(list_sum(list_transform(range(0, 8), lambda k: ([3, 5, 7, 11, 13, 17, 19, 23])[k + 1] * n[k + 1])) % 103 as bigint) as check_2 from n""")
 def program_checks(spark: SparkSession, d: str) -> DataFrame:
     numbers = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: ((F.col("o_orderkey") * 7 + F.col("o_custkey") * (k + 1)) % 120).cast("int"))
     one, two = program.checksums(F.col("n"))

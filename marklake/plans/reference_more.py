@@ -184,12 +184,13 @@ def text_style(spark: SparkSession, d: str) -> DataFrame:
 def text_rhythm(spark: SparkSession, d: str) -> DataFrame:
     """Sentence and list measures; their splitting by look-behind has no SQL form."""
     s = X.style(F.col("text"))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", *[F.round(s[k], 6).alias(k) for k in ("sent_mean", "sent_cv", "list_density", "reading_ease")], F.array_join(X.structure(F.col("text")), ";").alias("structure"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", *[F.round(s[k], 6).alias(k) for k in ("sent_mean", "sent_cv", "para_cv", "list_density", "reading_ease")], F.array_join(X.structure(F.col("text")), ";").alias("structure"))
 
 
-@query(r"""select event_id, regexp_replace(replace(replace(replace('user=' || user_id || chr(9) || 'token=' || md5(cast(event_id as varchar)) || ' ' || event_type, chr(9), ' '), chr(10), ' '), chr(13), ' '), '((?i)api[_-]?key|(?i)token|(?i)secret|(?i)passw(or)?d)\s*[=:]\s*\S+', '[REDACTED]', 'g') as text from events""")
+@query(r"""select event_id, regexp_replace(replace(replace('user=' || user_id || chr(9) || 'token=' || md5(cast(event_id as varchar)) || ' ' || event_type || ' ' || sha256(cast(event_id as varchar)) || ' ghs_' || md5(event_type), chr(9), ' '), chr(10), ' '),
+'sk-[A-Za-z0-9_-]{16,}|AIza[0-9A-Za-z_-]{30,}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----|(?i:api[_-]?key|token|secret|password)\s*[:=]\s*\S+|[A-Za-z0-9+/=_-]{40,}', '[REDACTED]', 'g') as text from events""")
 def redacted_labels(spark: SparkSession, d: str) -> DataFrame:
-    label = F.concat(F.lit("user="), F.col("user_id").cast("string"), F.lit("\ttoken="), F.md5(F.col("event_id").cast("string")), F.lit(" "), F.col("event_type"))
+    label = F.concat(F.lit("user="), F.col("user_id").cast("string"), F.lit("\ttoken="), F.md5(F.col("event_id").cast("string")), F.lit(" "), F.col("event_type"), F.lit(" "), F.sha2(F.col("event_id").cast("string"), 256), F.lit(" ghs_"), F.md5("event_type"))
     return table(spark, d, "events").select("event_id", X.redacted(label).alias("text"))
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,6 +40,23 @@ def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def summed(parts: DataFrame, size: int, fan: int = 32) -> np.ndarray:
+    """The sum of a column `part` of float64 vectors (bytes): added up in a tree, of which no task holds more than about `fan` parts and the driver one."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for part in batch.column(0):
+                total += np.frombuffer(part.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+    n = parts.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // fan)
+        parts = parts.repartition(n).mapInArrow(add, "part binary")
+    return np.frombuffer(next(iter(parts.mapInArrow(add, "part binary").coalesce(1).mapInArrow(add, "part binary").collect())).part)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files behind a table made by written(); the caller knows that no plan reads them any more."""
     spark = df.sparkSession

@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +63,74 @@ def test_texts(spark):
     assert r[0].w[:3] == ["plan", "owner", "me"] and "plan owner" in r[0].w
     secret = spark.createDataFrame([("a\tapi_key=abc123 sk-abcdefghijklmnopqrstu b",)], "t string").select(X.redacted(F.col("t")).alias("t")).first().t
     assert "abc123" not in secret and "sk-abc" not in secret and "\t" not in secret
+
+
+def digest(a):
+    return hashlib.sha256(np.ascontiguousarray(a).tobytes()).hexdigest()[:32]
+
+
+def test_pinned_digests():
+    """Codewords, projections, encodings and scores are those of the published conformance set."""
+    labels = [*[f"golden-{k}" for k in range(16)], "", "ümlaut", "E:Paris", "R:P36"]
+    book = np.stack([P.codeword(x, 5120) for x in labels])
+    assert digest(book) == "af6fbd74d882c2caf52239403ee8637f"
+    re, im = (P.ternary_rows(f"golden:{part}", 64, 256) for part in ("re", "im"))
+    assert digest(re) == "dd92ff342538fbd8535fab3961f627db" and digest(im) == "7a990828c5df333a4c45680d426489cb"
+    x = np.stack([(P.nibbles(f"GX:{k}", 64).astype(np.float32) - 7.5) / np.float32(7.5) for k in range(16)])
+    q = np.rint(x * (np.float32(127) / np.abs(x).max(1, keepdims=True))).astype(np.int64)
+    assert digest(P.sectors(q @ re.astype(np.int64), q @ im.astype(np.int64))) == "4230398b9e2f2ee59e5eec8203cf9577"
+    c, s = np.array(P.C8, np.int32)[book], np.array(P.S8, np.int32)[book]
+    assert digest((c[:4] @ c.T + s[:4] @ s.T).astype(np.int32)) == "d484194445ab404b90ca68a85ef55cc7"
+
+
+def test_complex_and_ternary_binding(spark):
+    rng = np.random.default_rng(8)
+    a, b = np.exp(2j * np.pi * rng.random((2, 12)))
+    pairs = lambda v: [(float(x.real), float(x.imag)) for x in v]
+    df = spark.createDataFrame([(pairs(a), pairs(b))], "a array<struct<re: double, im: double>>, b array<struct<re: double, im: double>>")
+    r = df.select(P.complex_bound(F.col("a"), F.col("b")).alias("c")).first().c
+    assert np.allclose([x.re + 1j * x.im for x in r], a * b)
+    back = df.select(P.complex_unbound(P.complex_bound(F.col("a"), F.col("b")), F.col("b")).alias("c")).first().c
+    assert np.allclose([x.re + 1j * x.im for x in back], a)
+    t, u = rng.integers(-1, 2, (2, 60))
+    words = lambda v: ([sum(1 << k for k in range(60) if v[k] < 0)], [sum(1 << k for k in range(60) if v[k])])
+    df = spark.createDataFrame([(*words(t), *words(u))], "sa array<bigint>, aa array<bigint>, sb array<bigint>, ab array<bigint>")
+    sign, active = P.ternary_bound(F.col("sa"), F.col("aa"), F.col("sb"), F.col("ab"))
+    r = df.select(sign.alias("s"), active.alias("a")).first()
+    assert (r.s, r.a) == words(t * u)
+
+
+def test_frames_of_atoms(spark):
+    axes = spark.range(16).select("id", P.orthogonal(F.col("id"), 16, 64).alias("m"))
+    assert P.min_separation(axes, "m").first().separation == pytest.approx(2**0.5)
+    assert P.min_separation(axes.limit(1), "m").first().separation is None
+    corners = spark.range(4).select("id", P.simplex(F.col("id"), 4, 63).alias("m"))
+    assert P.min_separation(corners, "m").first().separation == pytest.approx((2 + 2 / 3) ** 0.5)
+    assert spark.range(1).select(P.rectified(F.array(F.lit(-1.5), F.lit(2.0))).alias("v")).first().v == [0.0, 2.0]
+
+
+def test_secrets_go(spark):
+    texts = ["key sk-abcdefghijklmnopqrstuvwxyz123", "api_key=hunter2", "plain title\twith tab", "AIza" + "x" * 32, "ghs_" + "a" * 24, "xoxa-1234567890", "a" * 40, "Password : x y", "a" * 39]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.redacted(F.col("t")).alias("t")).collect()]
+    gone = "[REDACTED]"
+    assert got == [f"key {gone}", gone, "plain title with tab", gone, gone, gone, gone, f"{gone} y", "a" * 39]
+
+
+def test_form_keeps_order_and_repeats(spark):
+    doc = "## Plan — later 2024-01-02\n**Owner:** me **Owner:** you\n| a |\n| b |\n# Plan\n**12:** x"
+    r = spark.createDataFrame([(doc,)], "t string").select(X.structure(F.col("t")).alias("s"), *[c.alias(k) for k, c in X.document_features(F.col("t")).items()]).first()
+    assert r.s == ["H2:plan", "L:owner", "L:owner", "T:table", "T:table", "H1:plan"]
+    assert (r.headings_per_line, r.labels_per_line, r.table_rows_per_line) == (2 / 6, 3 / 6, 2 / 6)
+
+
+def test_rhythm_of_prose(spark):
+    t = "Evening water climbs the patient shore through a long hour of gathering light, gathering weight, rising over stones that remember every earlier tide and every quiet return. Then it falls back. The water does not rest; it returns, rather than ending, to the patient shore where evening water began."
+    p = X.prosody(F.col("t"))
+    r = spark.createDataFrame([(t,), ("",), (None,)], "t string").select(*[c.alias(k) for k, c in p.items()], X.style(F.col("t"))["para_cv"].alias("para_cv")).collect()
+    assert r[0].rests == 0.5 and r[0].antithesis == pytest.approx(1 / 3) and r[0].ring > 0 and 0 <= r[0].landing <= 1 and r[0].para_cv == 0 and r[1].breath_median == 0
+    words = [len(re.findall("[A-Za-z']+", x)) for s in re.split(r"(?<=[.!?])\s+", t) for x in re.split(r"[,;:—()]|\s-\s|--", s)]
+    assert r[0].breath_median == np.median(words) and r[0].breath_spread == pytest.approx(np.percentile(words, 90) - np.percentile(words, 10))
+    paragraphs = spark.createDataFrame([("one two three\n\none",)], "t string").select(X.style(F.col("t"))["para_cv"].alias("v")).first().v
+    assert paragraphs == pytest.approx(0.5)
+    kept = spark.createDataFrame([("abcdef", "abcxyz", True), ("abc", None, False)], "d string, f string, q boolean").select(X.kept(F.col("d"), F.col("f"), F.col("q")).alias("r")).collect()
+    assert kept[0].r < 0.5 and kept[1].r == 1.0

@@ -1,9 +1,11 @@
+import hmac
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marklake.functions.phases import sectors
 from marklake.operators import decode, folds, logic, memory, program, similarity, triples
 from marklake.operators.shifts import shifts
 
@@ -130,15 +132,50 @@ def test_memories(spark):
 
 
 def test_programs(spark):
+    assert (program.number("SIFT"), program.number("THRESHOLD", 4), program.number("MODE", 1)) == (80, 92, 113)
+    assert program.public_checks([49, 83, 0, 0, 0, 0, 0, 0]) == ((49 + 2 * 83) % 120, (3 * 49 + 5 * 83) % 103)
+    assert program.keyed_checks([1, 2, 3], b"key") == (int.from_bytes(hmac.new(b"key", bytes([1, 2, 3]), "sha256").digest()[:4], "big") % 120, int.from_bytes(hmac.new(b"key", bytes([1, 2, 3]), "sha256").digest()[4:8], "big") % 103)
     numbers = [program.number("LOAD", 1), program.number("SIFT", 3), 0, 0]
-    one, two = sum((k + 1) * x for k, x in enumerate(numbers)) % 120, sum(p * x for p, x in zip(program.PRIMES, numbers)) % 103
+    one, two = program.public_checks(numbers)
     rows = [(0, numbers, one, two)] + [(n, numbers[:k] + [(numbers[k] + e) % 120] + numbers[k + 1 :], one, two) for n, (k, e) in enumerate([(0, 1), (1, 5), (2, 9), (3, 119)], 1)]
     assert [r.id for r in program.accepted(spark.createDataFrame(rows, "id int, numbers array<int>, check_1 int, check_2 int")).collect()] == [0]
-    assert program.instruction(program.number("THRESHOLD", 4)) == ("THRESHOLD", 4) and program.keyed_check(numbers, b"k") != program.keyed_check(numbers[::-1], b"k")
+    assert program.instruction(program.number("THRESHOLD", 4)) == ("THRESHOLD", 4)
     with pytest.raises(ValueError):
         program.compiled([("NOP", 0)], program.Tables(spark.createDataFrame([], VECTORS), []))
 
 
+def test_programs_as_vectors():
+    whole = [*[program.number(*i) for i in (("LOAD", 0), ("SIFT", 7), ("THRESHOLD", 4))], 0, 0, 0, 0, 0]
+    vector = program.as_vector(whole[:3], 512)
+    assert program.from_vector(vector) == whole and program.from_vector(vector, b"key") is None
+    assert program.from_vector(program.as_vector(whole, 512, b"key"), b"key") == whole
+    checks, rng = program.public_checks(whole), random.Random(1)
+    for _ in range(300):  # one slot changed under the old checks is refused
+        bad, k = list(whole), rng.randrange(8)
+        bad[k] = (bad[k] + rng.randrange(1, 120)) % 120
+        assert program.public_checks(bad) != checks
+
+
+def test_program_steps(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.integers(0, 16, 32).tolist()) for k in range(30)]
+    marks = spark.createDataFrame(rows, VECTORS)
+    queries = [marks.where("id in (3, 5)").withColumnRenamed("id", "qid"), marks.where("id in (7, 9)").select(F.when(F.col("id") == 7, 3).otherwise(5).cast("long").alias("qid"), "mark")]
+    tables = program.Tables(marks, queries, perfect=32 * 127.0**2)
+    state = program.State(marks)
+    for step in (("HOLD", 4), ("BUNDLE", 0), ("BUNDLE", 1), ("FREEZE", 1), ("BUNDLE", 1), ("SHARPEN", 3)):
+        state = program.stepped(state, *step, tables)
+    got = {r.qid: r.mark for r in state.queries.collect()}
+    for qid, other in ((3, 7), (5, 9)):
+        v = sum(w * np.exp(2j * np.pi * np.array(rows[k][1]) / 16) for w, k in ((0.5, qid), (1, other)))
+        assert got[qid] == sectors(np.rint(v.real * 127), np.rint(v.imag * 127)).tolist()
+    assert state.temperature == 2.5 and program.stepped(state, "RELEASE", 0, tables).sum is None
+    # The first program leaves both unanswered, as they are not marks of the region; the second answers from all marks.
+    tables = program.Tables(marks, [spark.createDataFrame([(100, rows[3][1]), (101, rows[5][1])], "qid long, mark array<int>")], marks.select("id", F.when(F.col("id") == 4, 1).otherwise(0).alias("region")), perfect=32 * 127.0**2)
+    out = program.ticked({0: [("FOCUS", 1), ("LOAD", 0), ("SIFT", 1), ("THRESHOLD", 7), ("PROG", 1)], 1: [("LOAD", 0), ("SIFT", 1), ("THRESHOLD", 7)]}, 0, tables, 2).collect()
+    assert {(r.tick, r.program, r.qid, r.answer) for r in out} == {(0, 0, 100, None), (0, 0, 101, None), (1, 1, 100, 3), (1, 1, 101, 5)}
+
+
 def test_slots_come_back(spark):
     rng = random.Random(4)
     members = [(s, x) for s, n in enumerate([1, 5, 20]) for x in rng.sample(range(decode.STATES), n)]
