@@ -3,7 +3,7 @@ import unicodedata
 
 import numpy as np
 
-from marklake.llm.leaks import common_run, common_subsequence, leaked, passages, stretches, words
+from marklake.llm.leaks import common_run, common_subsequences, leaked, passages, stretches, words
 
 
 def brute(docs, items, run=10):
@@ -45,13 +45,39 @@ def test_planted_passages(spark):
     assert leaked(d.limit(0), i).count() == 0 and leaked(d, i.limit(0)).count() == 0
 
 
-def test_paraphrases(spark):
-    item = "the quick brown fox jumps over the lazy dog while seven small wizards quietly boil purple soup"
-    near = "the quick brown fox leaps over the lazy dog while seven tiny wizards quietly boil purple soup"
-    noise = [(k, " ".join(random.Random(k).choice(item.split()) for _ in range(12))) for k in range(10, 40)]
-    got = leaked(spark.createDataFrame([(1, near), (2, item), *noise], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"), paraphrases=True, paraphrase_cosine=0.5).collect()
-    kinds = {r.doc_id: r.kind for r in got}
-    assert kinds[2] == "passage" and kinds[1] == "paraphrase"
+def test_paraphrases_at_the_default_thresholds(spark):
+    """Item passages with every eighth word exchanged for one that no item has are found in a corpus of real texts; other documents are not."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    items = spark.read.parquet("/root/testdata/sf0.01/eval_item.parquet")
+    texts, rng, planted = {r.item_id: words(r.text) for r in items.collect()}, random.Random(3), {}
+    for n, (i, own) in enumerate(sorted(texts.items())):
+        if len(own) < 24:
+            continue
+        at = rng.randrange(len(own) - 23)
+        part = [f"zzq{k}" if k % 8 == 5 else w for k, w in enumerate(own[at : at + 24])]
+        planted[10**6 + n] = i
+        docs.append((10**6 + n, "Zzqa zzqb. " + " ".join(part) + ", zzqc!"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = leaked(df, items, paraphrases=True).collect()
+    near = {(r.doc_id, r.item_id) for r in got if r.kind == "paraphrase"}
+    assert len(planted) > 20 and len(near & set(planted.items())) >= 0.9 * len(planted)
+    assert sorted((r.doc_id, r.item_id) for r in got if r.kind == "passage") == brute(docs, [(i, " ".join(w)) for i, w in texts.items()])
+
+
+def test_latent_space_decides_candidates(spark, monkeypatch):
+    """In a space of random word vectors the candidates are others."""
+    from marklake.llm import leaks
+
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "eval_item"))
+    want = leaked(docs, items).count()
+    fitted = leaks.Query.__init__
+
+    def damaged(self, ids, texts, space, *a):
+        fitted(self, ids, texts, space, *a)
+        self.direction = np.roll(self.direction, 1, axis=0)
+
+    monkeypatch.setattr(leaks.Query, "__init__", damaged)
+    assert leaked(docs, items).count() < want
 
 
 def test_pieces():
@@ -60,4 +86,4 @@ def test_pieces():
     assert [x.tolist() for x in stretches(ids, 2, 1, 9)] == [[1, 2, 9, 3, 4, 5]]
     assert passages(np.arange(7), 4, 3, 9).tolist() == [[0, 1, 2, 3], [3, 4, 5, 6]]
     assert passages(np.arange(8), 4, 3, 9).tolist() == [[0, 1, 2, 3], [3, 4, 5, 6], [6, 7, 9, 9]]
-    assert common_run(np.array([1, 2, 3, 9]), np.array([0, 1, 2, 3])) == 3 and common_subsequence(np.array([1, 5, 2, 3]), np.array([1, 2, 4, 3])) == 3
+    assert common_run(np.array([1, 2, 3, 9]), np.array([0, 1, 2, 3])) == 3 and common_subsequences(np.array([[1, 5, 2, 3], [9, 9, 1, 2]]), np.array([[1, 2, 4, 3], [9, 1, 9, 2]]), 9).tolist() == [3, 2]
