@@ -3,10 +3,10 @@
 * Impossible: outside the field's range or infinite. A filter.
 * Stuck: a run of one value (null and NaN skipped) that is `stuck_times` times as long as the 95th percentile of that source's run lengths, that percentile
   counted as 4 at least. Runs are found piecewise and joined across pieces; run lengths are counted in a histogram per source.
-* Spike: at most three readings in a row that leap away from the level before and after. Each piece of a source's series is a profile matrix, a profile of
-  consecutive readings per row. Robust principal components (principal component pursuit by augmented Lagrangians) split it into a low-rank part, the source's
-  normal behaviour, and sparse residuals, the candidates. A candidate counts if it lies beyond both neighbouring levels (medians of five
-  readings) by `leap_times` the source's short-term scatter, and beyond the readings beside it by half as much; the scatter comes from quantiles of the differences between consecutive readings. Latencies are compared by their logarithm.
+* Spike: at most three readings in a row that leap away from the level before and after. Each piece of a source's series is a profile matrix: a day per row, by the time of day, where the piece holds three days or
+  more, else a row per `width` consecutive readings. Robust principal components (principal component pursuit by augmented Lagrangians; places without a reading are left open) split it into a low-rank part, the source's
+  normal behaviour, and sparse residuals. A leap counts if all of its readings lie off the low-rank part by `least` times the source's short-term scatter; what a source does every day is no spike, however steep. Its shape is then tested: beyond both
+  neighbouring levels (medians of five readings) by `leap_times` the scatter and beyond the readings beside it by half as much. The scatter comes from quantiles of the differences between consecutive readings. Latencies are compared by their logarithm.
 
 A source may hold any share of the rows: its readings are cut by time, numbered through prefix sums over the cuts and put into pieces of
 `piece` readings with the neighbours that the tests need; no window or group spans a whole source except over a row per cut or piece.
@@ -53,8 +53,10 @@ def _measured(field: Field) -> Column:
     return F.when(ok, F.log(field.name) if field.log else F.col(field.name))
 
 
-def low_rank(m: np.ndarray, rounds: int = 40, tolerance: float = 1e-4) -> np.ndarray:
-    """The low-rank part of m = low rank + sparse (principal component pursuit, inexact augmented Lagrangian)."""
+def low_rank(m: np.ndarray, known: np.ndarray | None = None, rounds: int = 40, tolerance: float = 1e-4) -> np.ndarray:
+    """The low-rank part of m = low rank + sparse (principal component pursuit, inexact augmented Lagrangian); where nothing is known the low-rank part fills in."""
+    if m.shape[1] > m.shape[0]:
+        return low_rank(m.T, None if known is None else known.T, rounds, tolerance).T
     norm = np.linalg.norm(m, 2)
     if not norm:
         return m
@@ -62,8 +64,12 @@ def low_rank(m: np.ndarray, rounds: int = 40, tolerance: float = 1e-4) -> np.nda
     dual = m / max(norm, np.abs(m).max() / weight)
     sparse, mu = np.zeros_like(m), 1.25 / norm
     for _ in range(rounds):
-        u, s, v = np.linalg.svd(m - sparse + dual / mu, full_matrices=False)
-        low = (u * np.maximum(s - 1 / mu, 0)) @ v
+        x = m - sparse + dual / mu
+        squares, v = np.linalg.eigh(x.T @ x)  # singular values by the small side
+        s = np.sqrt(np.maximum(squares, 1e-300))
+        low = x @ (v * (np.maximum(s - 1 / mu, 0) / s)) @ v.T
+        if known is not None:
+            m = np.where(known, m, low)
         gap = m - low + dual / mu
         sparse = np.sign(gap) * np.maximum(np.abs(gap) - weight / mu, 0)
         rest = m - low - sparse
@@ -74,18 +80,30 @@ def low_rank(m: np.ndarray, rounds: int = 40, tolerance: float = 1e-4) -> np.nda
     return low
 
 
-def candidates(x: np.ndarray, width: int, least: float) -> np.ndarray:
-    """Where the series, in units of its scatter, stands out of the low-rank part of its profile matrix."""
+def residuals(x: np.ndarray, us: np.ndarray, width: int, period_us: int) -> np.ndarray:
+    """How far the series, in units of its scatter, lies off the low-rank part of its profile matrix."""
     if not len(x):
-        return np.zeros(0, dtype=bool)
+        return np.zeros(0)
     x = x - np.median(x)
-    rows = -(-len(x) // width)
-    m = np.concatenate([x, np.full(rows * width - len(x), x[-1])]).reshape(rows, width)
-    return (np.abs(m - low_rank(m)) > least).ravel()[: len(x)]
-
-
-def leaps(x: np.ndarray, candidate: np.ndarray, times: float, around: int = 5, longest: int = 3) -> np.ndarray:
-    """Which readings belong to a leap of `longest` at most that holds a candidate."""
+    step = np.median(np.diff(us)) if len(us) > 1 else 0
+    if step > 0 and us[-1] - us[0] >= 3 * period_us and period_us >= 4 * step:
+        slots = int(round(period_us / step))
+        row, col = np.divmod(us - us[0] // period_us * period_us, period_us)
+        col = np.minimum(col * slots // period_us, slots - 1)
+    else:
+        row, col = np.divmod(np.arange(len(x)), width)
+        slots = width
+    shape = (int(row[-1]) + 1, slots)
+    n, total = np.zeros(shape), np.zeros(shape)
+    np.add.at(n, (row, col), 1)
+    np.add.at(total, (row, col), x)
+    known = n > 0
+    m = np.where(known, total / np.maximum(n, 1), 0)
+    return np.abs(x - low_rank(m, known)[row, col])
+
+
+def leaps(x: np.ndarray, sparse: np.ndarray, times: float, around: int = 5, longest: int = 3) -> np.ndarray:
+    """Which readings belong to a leap of `longest` at most, all of it sparse."""
     n, out = len(x), np.zeros(len(x), dtype=bool)
     if n < 5:
         return out
@@ -103,7 +121,7 @@ def leaps(x: np.ndarray, candidate: np.ndarray, times: float, around: int = 5, l
         up = (low - np.fmax(before, after) > times) & (low - np.fmax(left, right) > times / 2)
         down = (np.fmin(before, after) - high > times) & (np.fmin(left, right) - high > times / 2)
         both = np.isfinite(before) & np.isfinite(after)
-        hit = both & (up | down) & np.lib.stride_tricks.sliding_window_view(candidate, size).any(1)
+        hit = both & (up | down) & np.lib.stride_tricks.sliding_window_view(sparse, size).all(1)
         for k in range(size):
             out[at[hit] + k] = True
     return out
@@ -112,18 +130,18 @@ def leaps(x: np.ndarray, candidate: np.ndarray, times: float, around: int = 5, l
 RESULT = "kind string, source string, piece long, field string, value double, n long, cases long, ids array<long>, opens boolean, closes boolean"
 
 
-def _piece_test(fields: tuple[Field, ...], width: int, least: float, times: float, keep_run: int):
+def _piece_test(fields: tuple[Field, ...], width: int, period_us: int, least: float, times: float, keep_run: int):
     def test(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", kind="stable")
         own = pdf["own"].to_numpy()
-        ids = pdf["reading"].to_numpy()
+        ids, us = pdf["reading"].to_numpy(), pdf["us"].to_numpy()
         out = []
         for f in fields:
             x, scale = pdf[f"x_{f.name}"].to_numpy(dtype=float), pdf[f"s_{f.name}"].to_numpy(dtype=float)
             there = np.flatnonzero(np.isfinite(x))
             if len(there) and np.isfinite(scale[0]):
                 z = x[there] / max(scale[0], 1e-9)
-                hit = there[leaps(z, candidates(z, width, least), times)]
+                hit = there[leaps(z, residuals(z, us[there], width, period_us) > least, times)]
                 hit = hit[own[hit]]
                 if len(hit):
                     out.append(("spike", *key, f.name, None, len(hit), 1, ids[hit].tolist(), False, False))
@@ -153,9 +171,10 @@ def implausible(
     ts: str = "ts",
     fields: tuple[Field, ...] = TELEMETRY,
     stuck_times: float = 2.75,
-    leap_times: float = 6.0,
+    leap_times: float = 3.0,
     width: int = 24,
-    least: float = 2.5,
+    period_seconds: int = 86_400,
+    least: float = 6.0,
     piece: int = 2048,
     cut_seconds: int = 1800,
     margin: int = 24,
@@ -179,13 +198,16 @@ def implausible(
         return (F.greatest(q[0] / 0.6745, q[1] / 1.2816, q[2] / 1.96) / F.lit(2**0.5)).alias(f"s_{n}")
 
     scales = once.groupBy("source").agg(*[scatter(n) for n in names])
-    cuts = once.where("at = 1").select("source", "cut", "n").withColumn("offset", F.sum("n").over(Window.partitionBy("source").orderBy("cut")) - F.col("n")).drop("n").join(scales, "source")
+    cuts = once.where("at = 1").select("source", "cut", "n").withColumn("offset", F.sum("n").over(Window.partitionBy("source").orderBy("cut")) - F.col("n"))
+    cuts = cuts.withColumn("last", F.greatest(F.floor(F.sum("n").over(Window.partitionBy("source")) / piece) - 1, F.lit(0))).drop("n")  # the last piece takes what remains, so none is short
+    cuts = cuts.join(scales, "source")
     ranked = once.join(cuts, ["source", "cut"]).withColumn("rank", F.col("offset") + F.col("at") - 1)
-    own, rest = F.floor(F.col("rank") / piece), F.col("rank") % piece
-    pieces = ranked.withColumn("home", own).withColumn("piece", F.explode(F.array_compact(F.array(own, F.when((rest < margin) & (own > 0), own - 1), F.when(rest >= piece - margin, own + 1)))))
-    pieces = pieces.select("source", "piece", "rank", "reading", (F.col("piece") == F.col("home")).alias("own"), *[c for n in names for c in (f"v_{n}", f"x_{n}", f"s_{n}")])
+    own = F.least(F.floor(F.col("rank") / piece), F.col("last"))
+    rest = F.col("rank") - own * piece
+    pieces = ranked.withColumn("home", own).withColumn("piece", F.explode(F.array_compact(F.array(own, F.when((rest < margin) & (own > 0), own - 1), F.when((rest >= piece - margin) & (own < F.col("last")), own + 1)))))
+    pieces = pieces.select("source", "piece", "rank", "us", "reading", (F.col("piece") == F.col("home")).alias("own"), *[c for n in names for c in (f"v_{n}", f"x_{n}", f"s_{n}")])
     shortest = int(np.ceil(4 * stuck_times))
-    tested = written(pieces.groupBy("source", "piece").applyInPandas(_piece_test(fields, width, least, leap_times, shortest), RESULT), "tested")
+    tested = written(pieces.groupBy("source", "piece").applyInPandas(_piece_test(fields, width, period_seconds * 1_000_000, least, leap_times, shortest), RESULT), "tested")
 
     spikes = tested.where("kind = 'spike'").select(F.explode("ids").alias("reading"), "field", F.lit("spike").alias("reason"))
     edge = F.col("opens") | F.col("closes")

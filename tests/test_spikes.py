@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from marklake.operators.spikes import TELEMETRY, candidates, implausible, leaps, low_rank
+from marklake.operators.spikes import TELEMETRY, Field, implausible, leaps, low_rank, residuals
 
 SCHEMA = "reading_id long, host string, ts timestamp, load double, temp_c double, single_p95_ms double, source string, rank int"
 T0 = dt.datetime(2031, 3, 3)
@@ -97,7 +97,8 @@ def test_low_rank_part_leaves_spikes():
     m[3, 5] += 40
     rest = m - low_rank(m)
     assert rest[3, 5] > 30 and np.abs(np.delete(rest.ravel(), 3 * 24 + 5)).max() < 3
-    assert candidates(m.ravel() / 0.1, 24, 2.5)[3 * 24 + 5] and not len(candidates(np.zeros(0), 24, 2.5))
+    r = residuals(m.ravel() / 0.1, np.arange(m.size) * 1_000_000, 24, 86_400_000_000)
+    assert r[3 * 24 + 5] > 2.5 and not len(residuals(np.zeros(0), np.zeros(0, np.int64), 24, 1))
 
 
 @pytest.mark.parametrize("size,hit", [(1, True), (3, True), (4, False)])
@@ -105,3 +106,20 @@ def test_leaps_are_short(size, hit):
     x = np.zeros(40)
     x[20 : 20 + size] = 9
     assert leaps(x, np.ones(40, dtype=bool), 6.0)[20 : 20 + size].all() == hit and not leaps(x, np.zeros(40, dtype=bool), 6.0).any()
+
+
+def test_what_every_day_brings_is_no_spike(spark, monkeypatch):
+    """Two months of readings, three an hour. A peak at four every morning is normal; the same peak once at three in the afternoon is a spike. Without the low-rank part the mornings would be found as well."""
+    from marklake.operators import spikes
+
+    rng, once = np.random.default_rng(7), 30 * 72 + 45
+    rows = []
+    for k in range(60 * 72):
+        value = 50 + 8 * math.sin(k % 72 / 72 * 2 * math.pi) + rng.normal(0, 0.5) + (25 if k % 72 == 12 or k == once else 0)
+        if k % 37 != 11:  # lost readings
+            rows.append((k, "h", T0 + dt.timedelta(minutes=20 * k), value))
+    df = spark.createDataFrame(rows, "reading_id long, host string, ts timestamp, v double")
+    found = lambda: sorted(r.reading_id for r in implausible(df, fields=(Field("v", -1000, 1000),)).where("reason = 'spike'").collect())
+    assert found() == [once]
+    monkeypatch.setattr(spikes, "residuals", lambda x, *_: np.full(len(x), np.inf))
+    assert len(found()) > 50
