@@ -1,9 +1,8 @@
 """Token ids of every text by a public byte-level BPE vocabulary.
 
-Texts up to `piece_chars` characters are encoded where they lie, without a shuffle. A longer text is cut into pieces that are
-encoded in parallel on any executor; the encoded pieces are then joined pairwise, in a tree. Around each cut the window
-that is encoded again grows until it agrees with what the left and the right side already have, so the ids equal those of
-the uncut text:
+A text is cut into pieces of `piece_chars` characters, each piece is encoded, and the encoded pieces are joined pairwise, in a tree. Around each cut the window
+that is encoded again grows until it agrees with what the left and the right side already have, so the ids equal those of the uncut text. Texts of up to `fan` pieces are cut and joined where they lie, without a shuffle. The pieces
+of longer texts are spread over all tasks, and a task joins at most `fan` neighbours of a text: at each of `LEVELS` levels that many become one, which is enough for the longest text that a row can hold.
 
 * Words (the vocabulary's pre-tokens) are found by a pattern that only looks forward, so from a position where both the window and the right side
   begin a word, everything that follows is the same.
@@ -134,6 +133,9 @@ def tree(pieces: list[Piece], enc: Encoder) -> Piece:
     return pieces[0]
 
 
+LEVELS = 4  # 64 ** 4 pieces of 2,048 characters are more than a row of 2 GB has
+
+
 def _lists(ids: list[list[int]]) -> pa.Array:
     offsets = np.zeros(len(ids) + 1, dtype=np.int32)
     np.cumsum([len(x) for x in ids], out=offsets[1:])
@@ -141,44 +143,56 @@ def _lists(ids: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _appended(df: DataFrame, column: str, vocabulary: str) -> DataFrame:
-    """df with `ids` of a text column in that column's place."""
+def encoded(text: str, enc: Encoder, piece_chars: int) -> list[int]:
+    """The ids of a text by the tree."""
+    if len(text) <= piece_chars:
+        return enc.ids(text)
+    parts = [text[k : k + piece_chars] for k in range(0, len(text), piece_chars)]
+    return tree([Piece.of(t, np.array(enc.ids(t), dtype=np.int64), enc) for t in parts], enc).ids()
 
+
+def _in_place(docs: DataFrame, kind: T.DataType, vocabulary: str, piece_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            k = batch.schema.get_field_index(column)
-            ids = _lists([enc.ids(x) if x else [] for x in batch.column(k).to_pylist()])
-            arrays = [ids if i == k else batch.column(i) for i in range(batch.num_columns)] + ([batch.column(k)] if keep else [])
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            ids = _lists([encoded(x, enc, piece_chars) if x else [] for x in batch.column("body").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), ids], ["id", "ids"])
 
-    keep = "piece" in df.columns
-    names = ["ids" if c == column else c for c in df.columns] + (["text"] if keep else [])
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())) if f.name == column else f for f in df.schema.fields]
-    return df.mapInArrow(run, T.StructType(fields + ([T.StructField("text", T.StringType())] if keep else [])))
+    return docs.mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
-def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, piece_chars: int = 100_000) -> DataFrame:
-    """(id, ids) of every row; see the module's text for long texts, nulls and repeated rows."""
-    kind = df.schema[id_col].dataType
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    long = F.coalesce(F.length("body") > piece_chars, F.lit(False))
-    short = _appended(docs.where(~long), "body", vocabulary)
+def _spread(docs: DataFrame, kind: T.DataType, vocabulary: str, piece_chars: int, fan: int) -> DataFrame:
+    """The same for texts of more pieces than a task should join. Equal rows are joined once and counted."""
     pieces = (
-        docs.where(long)
-        .groupBy("id", "body")
+        docs.groupBy("id", "body")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .select("id", F.sha2("body", 256).alias("digest"), "copies", F.posexplode(F.expr(f"regexp_extract_all(body, '(?s).{{1,{int(piece_chars)}}}', 0)")).alias("piece", "part"))
+        .select("id", F.sha2("body", 256).alias("digest"), "copies", F.posexplode(F.expr(f"regexp_extract_all(body, '(?s).{{1,{int(piece_chars)}}}', 0)")).alias("piece", "text"))
         .repartition(F.col("digest"), F.col("piece"))
     )
+    rest = T.StructType([T.StructField("id", kind), *[T.StructField(n, t) for n, t in (("digest", T.StringType()), ("copies", T.LongType()), ("piece", T.IntegerType()), ("text", T.StringType()), ("ids", T.ArrayType(T.IntegerType())))]])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists([enc.ids(x) for x in batch.column("text").to_pylist()])], [*batch.schema.names, "ids"])
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
         enc = encoder(vocabulary)
         pdf = pdf.sort_values("piece")
-        ids = tree([Piece.of(t, np.asarray(i), enc) for t, i in zip(pdf["text"], pdf["ids"])], enc).ids()
-        n = int(pdf["copies"].iloc[0])
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]] * n, "ids": [ids] * n})
+        one = tree([Piece.of(t, np.asarray(i, dtype=np.int64), enc) for t, i in zip(pdf["text"], pdf["ids"])], enc)
+        head = pdf.iloc[0]
+        return pd.DataFrame({"id": [head["id"]], "digest": [head["digest"]], "copies": [head["copies"]], "piece": [head["piece"] // fan], "text": [one.text], "ids": [one.ids()]})
+
+    level = pieces.mapInArrow(first, rest)
+    for _ in range(LEVELS):
+        level = level.groupBy("id", "digest", F.floor(F.col("piece") / fan)).applyInPandas(join, rest)
+    return level.select("id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("id", "ids")
+
 
-    out = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    rest = _appended(pieces, "part", vocabulary).groupBy("id", "digest").applyInPandas(whole, out)
-    return short.unionByName(rest).withColumnRenamed("id", id_col)
+def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, piece_chars: int = 2_048, fan: int = 64) -> DataFrame:
+    """(id, ids) of every row; see the module's text for long texts, nulls and repeated rows."""
+    kind = df.schema[id_col].dataType
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    long = F.coalesce(F.length("body") > piece_chars * fan, F.lit(False))
+    out = _in_place(docs.where(~long), kind, vocabulary, piece_chars).unionByName(_spread(docs.where(long), kind, vocabulary, piece_chars, fan))
+    return out.withColumnRenamed("id", id_col)
