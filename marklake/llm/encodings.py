@@ -10,7 +10,8 @@ what it may have been; the result stands if a garbling cost drops. This is repea
   corpus. What is garbled must not make its own letters usual, whatever its share: of a text with words that no orthography has (`suspicious`), the foreign words count
   in the one reading that fits an alphabet, or not at all. A run of words is repaired if its likelihood rises by `least` nats in total and by `least_per_char` for each character that changes.
 
-Replacement characters (U+FFFD) show lost text: such a record is garbled, and not complete. Counted pairs are few (alphabets squared) and go to all workers.
+Replacement characters (U+FFFD) show lost text: such a record is garbled, and not complete. The counted pairs go to all workers. They are few: letters of scripts with thousands of characters count by their
+block of 256, and a pair with less than `rarest` of all counts is left to the smoothing, so there are at most 1 / `rarest` pairs, in any corpus.
 
 Defined results: null, empty and blank texts are not garbled; each row is judged by itself, so repeated rows come out repeatedly; a null id stays null; other columns are
 ignored; an empty table gives no rows.
@@ -23,12 +24,15 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marklake.sources.shared import written
+
 LEGACY = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp852", "cp866", "koi8_r", "mac_roman", "mac_cyrillic", "iso8859_2", "iso8859_5", "cp1254", "cp1257", "cp1253")
 # (decoded as, intended): one byte per character on both sides.
 ONE_BYTE = tuple(
@@ -66,6 +70,23 @@ def translation(wrong: str, meant: str) -> dict[int, str]:
     return table | {ord(c): bytes([b]).decode(meant, "ignore") or "\ufffe" for c, b in bytes_of(wrong).items()}
 
 
+_FOREIGN = re.compile(r"[^\x00-\x7f]{2,}")
+
+
+@lru_cache(maxsize=1 << 16)
+def openers(pair: str) -> int:
+    """Which of LEGACY's encodings (bits) have these two characters as the begin of a UTF-8 character."""
+    return sum(1 << k for k, codec in enumerate(LEGACY) if 0xC2 <= bytes_of(codec).get(pair[0], 0) <= 0xF4 and 0x80 <= bytes_of(codec).get(pair[1], 0) <= 0xBF)
+
+
+def opening(text: str) -> list[str]:
+    """The encodings under which the text can have UTF-8 sequences at all."""
+    bits = 0
+    for pair in {run[k : k + 2] for run in _FOREIGN.findall(text) for k in range(len(run) - 1)}:
+        bits |= openers(pair)
+    return [codec for k, codec in enumerate(LEGACY) if bits >> k & 1]
+
+
 @lru_cache(maxsize=None)
 def sequences(codec: str) -> re.Pattern:
     def chars(low: int, high: int) -> str:
@@ -169,17 +190,17 @@ def _utf8_layer(text: str, codec: str) -> tuple[str, int]:
     return "".join(out) + text[at:], n
 
 
-def utf8_repaired(text: str, most: int = 5) -> tuple[str, list[str]]:
+def utf8_repaired(text: str) -> tuple[str, list[str]]:
     layers: list[str] = []
-    while len(layers) < most:
-        best = max((_utf8_layer(text, c) + (c,) for c in LEGACY), key=lambda x: x[1])
+    while codecs := opening(text):  # every layer makes the text shorter
+        best = max((_utf8_layer(text, c) + (c,) for c in codecs), key=lambda x: x[1])
         if best[1]:
             text = best[0]
             layers.append(f"{best[2]} < utf-8")
             continue
         # The outer of two layers may leave alphabets mixed, so it only stands together with the inner one.
         under = sequences("cp1252").sub(lambda m: decoded("cp1252", m.group()) or m.group(), text)
-        best = max((_utf8_layer(under, c) + (c,) for c in LEGACY), key=lambda x: x[1]) if under != text else ("", 0, "")
+        best = max((_utf8_layer(under, c) + (c,) for c in opening(under)), key=lambda x: x[1], default=("", 0, "")) if under != text else ("", 0, "")
         if best[1] < 2:
             break
         text = best[0]
@@ -205,13 +226,56 @@ class Pairs:
         """By which of ONE_BYTE's pairs the word gets likelier, and by how much."""
         out = self.gained.get(word)
         if out is None:
-            if len(self.gained) > 200_000:
-                self.gained.clear()
             cost = self.cost(word)
             pairs = decodable("".join(sorted({c for c in word if c > "\x7f"}))) if cost > self.usual * (len(word) + 1) else ()
             out = self.gained[word] = [(k, gain) for k in pairs if (gain := self.gain(word, translated(word, *ONE_BYTE[k]))) > 0]
         return out
 
+    @cached_property
+    def matrix(self) -> np.ndarray:
+        """Nats of all pairs of letters that the encodings have, without regard to case."""
+        chars = repertoire()
+        low = [chars[k] for k in lowered()]
+        n = len(chars)
+        counts, one = np.zeros((n, n)), np.array([(self.all.get(c, 0) + 0.05) / (self.total + self.kinds) for c in low])
+        first = {c: k for k, c in reversed(list(enumerate(low)))}
+        for (a, b), times in self.counts.items():
+            if a in first and b in first:
+                counts[first[a], first[b]] = times
+        at = np.array([first[c] for c in low])
+        firsts = np.array([self.firsts.get(c, 0) for c in low])
+        return -np.log((counts[at][:, at] + 4 * one[None]) / (firsts[:, None] + 4))
+
+    def prepare(self, texts: list[str | None]) -> None:
+        """Finds the gains of the texts' words, all together."""
+        if len(self.gained) > 200_000:
+            self.gained.clear()
+        words = {w for t in texts if t and not t.isascii() for w in t.split() if not w.isascii()} - self.gained.keys()
+        index, blank = positions(), positions()[" "]
+        self.gained.update(dict.fromkeys(words, []))
+        words = [w for w in words if all(c in index for c in w)]  # no encoding has another word
+        if not words:
+            return
+        flat = np.array([k for w in words for k in (blank, *map(index.__getitem__, w))] + [blank])
+        begin = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])[:-1]])
+        small, capital, tables, printers = cases()
+
+        def cost(x: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(self.matrix[x[:-1], x[1:]] + 2.0 * (small[x[:-1]] & capital[x[1:]]), begin)
+
+        own = cost(flat)
+        unlikely = own > self.usual * np.diff(np.append(begin, len(flat) - 1))
+        for k, table in enumerate(tables):
+            made = table[flat]
+            fits = unlikely & (np.minimum.reduceat(made[:-1], begin) >= 0)
+            if not fits.any():
+                continue
+            changed = made != flat
+            fits &= np.logical_or.reduceat((changed & ~printers[flat])[:-1], begin)  # printers' marks alone are no garbling
+            gain = own - cost(np.maximum(made, 0))
+            for j in np.flatnonzero(fits & (gain > 0)):
+                self.gained[words[j]] = [*self.gained[words[j]], (k, float(gain[j]))]
+
     def gain(self, word: str, made: str) -> float:
         """By how many nats the word gets likelier; printers' marks alone are no garbling."""
         gain = self.cost(word) - self.cost(made)
@@ -228,7 +292,7 @@ class Pairs:
         """Nats of a word; capitals after small letters, which no word has, cost on top."""
         out = self.known.get(word)
         if out is None:
-            low, nats = f" {word.lower()} ", self.nats
+            low, nats = f" {folded(word)} ", self.nats
             out = 0.0
             for k in range(len(low) - 1):
                 n = nats.get(low[k : k + 2])
@@ -241,6 +305,41 @@ class Pairs:
         return out
 
 
+@lru_cache(maxsize=None)
+def repertoire() -> tuple[str, ...]:
+    """All characters that one of ONE_BYTE's encodings has, and their small ones."""
+    upper = {c for pair in ONE_BYTE for codec in pair for c in bytes_of(codec)}
+    every = {chr(b) for b in range(0x80)} | upper
+    return tuple(sorted(every | {c.lower()[0] for c in every}))
+
+
+@lru_cache(maxsize=None)
+def positions() -> dict[str, int]:
+    return {c: k for k, c in enumerate(repertoire())}
+
+
+@lru_cache(maxsize=None)
+def lowered() -> tuple[int, ...]:
+    return tuple(positions()[c.lower()[0]] for c in repertoire())
+
+
+@lru_cache(maxsize=None)
+def cases() -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of the repertoire's characters: small, capital, their translation by each of ONE_BYTE's pairs (-1 where there is none), printers' marks."""
+    chars, index = repertoire(), positions()
+    tables = []
+    for pair in ONE_BYTE:
+        made = [translation(*pair)[ord(c)] for c in chars]
+        tables.append(np.array([index.get(c, -1) for c in made]))
+    return np.array([c.islower() for c in chars]), np.array([c.isupper() for c in chars]), tables, np.array([c in _PRINTERS for c in chars])
+
+
+def folded(word: str) -> str:
+    """Small letters; those of scripts with thousands of characters stand for their block of 256."""
+    word = word.lower()
+    return word if word.isascii() or max(word) < "\u2e80" else "".join(c if c < "\u2e80" else chr(ord(c) & ~0xFF) for c in word)
+
+
 def translated(word: str, wrong: str, meant: str) -> str | None:
     made = word.translate(translation(wrong, meant))
     return None if "\ufffe" in made else made
@@ -300,7 +399,7 @@ def judged(text: str | None, pairs: Pairs, least: float, least_per_char: float)
     if not text or text.isascii() or not text.strip():
         return False, text, [], True
     lost, layers, made = "�" in text, [], text
-    for _ in range(4):
+    while True:  # every layer makes the text shorter or likelier
         tried = [(t, names) for t, names in (utf8_repaired(made), _named(one_byte_repaired(made, pairs, least, least_per_char))) if names]
         if not tried:
             break
@@ -363,8 +462,8 @@ def countable(text: str) -> list[str]:
     return [w for w in words if w.isascii()] + (read[0] if len(read) == 1 else [])
 
 
-def letter_pairs(df: DataFrame, text_col: str = "text") -> dict[tuple[str, str], int]:
-    """Counts over all texts, added up where the texts lie. As many as alphabets have pairs, whatever the corpus' size."""
+def letter_pairs(df: DataFrame, text_col: str = "text", rarest: float = 1e-7) -> dict[tuple[str, str], int]:
+    """Counts over all texts, added up where the texts lie; at most 1 / `rarest` pairs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -373,7 +472,7 @@ def letter_pairs(df: DataFrame, text_col: str = "text") -> dict[tuple[str, str],
         def flush() -> None:
             for word, n in words.items():
                 a = " "
-                for b in [*word.lower(), " "]:
+                for b in [*folded(word), " "]:
                     pairs[a, b] += n
                     a = b
             words.clear()
@@ -389,7 +488,9 @@ def letter_pairs(df: DataFrame, text_col: str = "text") -> dict[tuple[str, str],
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([pairs[k] for k in keys], pa.int64())], ["a", "b", "n"])
 
     counted = df.select(text_col).mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return {(r.a, r.b): r.n for r in counted.collect()}
+    counted = written(counted, "pairs")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    return {(r.a, r.b): r.n for r in counted.where(F.col("n") >= F.lit(rarest * total)).collect()}
 
 
 def repaired(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 14.0, least_per_char: float = 1.0) -> DataFrame:
@@ -401,7 +502,9 @@ def repaired(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = Pairs(shared.value)
         for batch in batches:
-            rows = [judged(t, pairs, least, least_per_char) for t in batch.column("body").to_pylist()]
+            texts = batch.column("body").to_pylist()
+            pairs.prepare(texts)
+            rows = [judged(t, pairs, least, least_per_char) for t in texts]
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.bool_())], ["id", "garbled", "restored", "layers", "complete"])
 
