@@ -15,15 +15,21 @@ A value goes on if numbers differ by five percent of the old one at most (a list
 "~1.02e+03", "0.27 ms" or "248.9 (est.)") and other texts are equal. If several fields could be the other's new name, equal numbers pair first, in the order of their names, then the least differences, again and again until no two fit; equal texts and flags pair in the order of their last names; each
 has one partner at most.
 
+Files that have footers (Parquet) are catalogued from these: names and types from the schema, values from the statistics, without reading a row (`footers`, `file_changes`, `read_consistently`).
+
 Defined results: identical rows count once, of differing rows for one path and file the greatest (text, num) holds; rows with a null file or path, files without producer or
 time, and values of files that are not registered are left out. Other columns are ignored; empty tables give no changes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marklake.sources.shared import written
@@ -70,8 +76,13 @@ def fields_of(values: DataFrame) -> DataFrame:
 
 
 def lifespans(values: DataFrame, files: DataFrame) -> DataFrame:
+    """The catalogue of the files' leaves."""
+    return catalogued(fields_of(values), files)
+
+
+def catalogued(fields: DataFrame, files: DataFrame) -> DataFrame:
     """The catalogue: a row per producer, file and field with its lifespan (island) and the last known type and value of the lifespan."""
-    found = fields_of(values).join(files_in_order(files), "file")
+    found = fields.join(files_in_order(files), "file")
     w = Window.partitionBy("exp", "field").orderBy("seq")
     found = found.withColumn("starts", F.coalesce(F.col("seq") - F.lag("seq").over(w) > 1, F.lit(True))).withColumn("ends", F.coalesce(F.lead("seq").over(w) - F.col("seq") > 1, F.lit(True)))
     found = found.withColumn("island", F.sum(F.col("starts").cast("int")).over(w))
@@ -174,7 +185,16 @@ def consistent_values(values: DataFrame, files: DataFrame, tolerance: float = 0.
     """
     catalogue = written(lifespans(values, files), "lifespans")
     sides = written(_sides(catalogue, files), "drift-sides")
-    pairs = renamings(sides, tolerance)
+    named = last_names(catalogue, renamings(sides, tolerance))
+    kinds = named.groupBy("exp", "name").agg(F.collect_set("type").alias("kinds"))
+    has = lambda k: F.array_contains("kinds", k)
+    cast = F.when(has("text"), F.when(has("list") | has("object"), "number or text").otherwise("text")).when(has("list") | has("object") | has("number"), "number").when(has("flag"), "flag")
+    kinds = kinds.select("exp", "name", cast.alias("cast"))
+    return named.join(kinds, ["exp", "name"]).select("exp", "file", F.col("field").alias("path"), "name", "type", "cast", F.col("num").alias("number"), F.coalesce("text", F.when((F.col("cast") == "text"), F.col("num").cast("string"))).alias("text"))
+
+
+def last_names(catalogue: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The catalogue with `name`, the last name that the alias table leads to."""
     spans = catalogue.groupBy("exp", "field", "island").agg(F.min("seq").alias("since"), F.max("seq").alias("until"))
     old = spans.select("exp", F.col("field").alias("old"), F.col("island").alias("old_island"), (F.col("until") + 1).alias("seq"))
     new = spans.select("exp", F.col("field").alias("new"), F.col("island").alias("new_island"), F.col("since").alias("seq"))
@@ -188,9 +208,70 @@ def consistent_values(values: DataFrame, files: DataFrame, tolerance: float = 0.
         if step.where("moved").isEmpty():
             break
     named = catalogue.withColumn("node", F.struct("field", "island")).join(to, ["exp", "node"], "left")
-    named = named.withColumn("name", F.coalesce("to.field", "field"))
-    kinds = named.groupBy("exp", "name").agg(F.collect_set("type").alias("kinds"))
-    has = lambda k: F.array_contains("kinds", k)
-    cast = F.when(has("text"), F.when(has("list") | has("object"), "number or text").otherwise("text")).when(has("list") | has("object") | has("number"), "number").when(has("flag"), "flag")
-    kinds = kinds.select("exp", "name", cast.alias("cast"))
-    return named.join(kinds, ["exp", "name"]).select("exp", "file", F.col("field").alias("path"), "name", "type", "cast", F.col("num").alias("number"), F.coalesce("text", F.when((F.col("cast") == "text"), F.col("num").cast("string"))).alias("text"))
+    return named.withColumn("name", F.coalesce("to.field", "field"))
+
+
+# Files with footers: the catalogue comes from their metadata, no row is read.
+
+_KINDS = (("int", "number"), ("uint", "number"), ("float", "number"), ("double", "number"), ("decimal", "number"), ("halffloat", "number"), ("bool", "flag"), ("list", "list"), ("large_list", "list"), ("struct", "object"), ("map", "object"))
+
+
+def footers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(fields, files) of all Parquet files below a folder, read from their footers: (file, field, type, num, text, stored) and (exp, file, written_at). exp is the file's folder; stored is the type as stored; num is the middle of a
+    number's least and greatest value, text the least text, null where the footer has no statistics. A field of only nulls has no type."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                system, inner = pyarrow.fs.FileSystem.from_uri(path)
+                with system.open_input_file(inner) as file:
+                    meta = pyarrow.parquet.read_metadata(file)
+                schema, chunks = meta.schema.to_arrow_schema(), [meta.row_group(g) for g in range(meta.num_row_groups)]
+                at = {meta.schema.column(c).path: c for c in range(meta.num_columns)}
+                for f in schema:
+                    stats = [s for g in chunks if f.name in at and (s := g.column(at[f.name]).statistics) is not None]
+                    ends = [(s.min, s.max) for s in stats if s.has_min_max]
+                    low, high = (pick(v) for pick, v in zip((min, max), zip(*ends))) if ends else (None, None)
+                    numeric = isinstance(low, (int, float)) and not isinstance(low, bool)
+                    known = not (stats and len(stats) == len(chunks) and all(s.null_count == g.num_rows for s, g in zip(stats, chunks)))
+                    kind = next((k for prefix, k in _KINDS if str(f.type).startswith(prefix)), "text")
+                    rows.append((path, f.name, kind if known else None, (low + high) / 2 if numeric else None, low if isinstance(low, str) else None, str(f.type)))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 3 else pa.string()) for k, c in enumerate(cols)], ["file", "field", "type", "num", "text", "stored"])
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path", "modificationTime")
+    fields = listed.select("path").mapInArrow(read, "file string, field string, type string, num double, text string, stored string")
+    return fields, listed.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("exp"), F.col("path").alias("file"), F.col("modificationTime").alias("written_at"))
+
+
+def file_changes(fields: DataFrame, files: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """schema_changes() of files by their footers."""
+    return _changes(written(catalogued(fields.drop("stored"), files), "lifespans"), files, tolerance)
+
+
+def read_consistently(spark: SparkSession, fields: DataFrame, files: DataFrame, exp: str, tolerance: float = 0.05) -> DataFrame:
+    """One table of all files of a producer: `file` and every field under its last name. Fields that some file stores as text, or as different things, become text (lists and objects as JSON), different kinds of numbers double.
+
+    Files of one layout are read together; there are as many reads as layouts.
+    """
+    own = files.where(F.col("exp") == exp)
+    catalogue = written(catalogued(fields.join(own.select("file"), "file", "left_semi"), own), "lifespans")
+    named = last_names(catalogue, renamings(written(_sides(catalogue, own), "drift-sides"), tolerance))
+    named = named.select("file", "field", "name", "type", "stored")
+    kinds = named.groupBy("name").agg(F.collect_set("type").alias("types"), F.collect_set("stored").alias("stored")).collect()  # a row per name
+    as_text = {r.name for r in kinds if len(set(r.types)) > 1}
+    as_double = {r.name for r in kinds if len(r.stored) > 1} - as_text
+    layouts = named.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("field", "name", "type"))).alias("layout")).groupBy("layout").agg(F.collect_list("file").alias("files")).collect()
+    parts = []
+    for layout in layouts:
+        df, columns = spark.read.parquet(*layout.files), [F.col("_metadata.file_path").alias("file")]
+        for f in layout.layout:
+            c = F.col(f"`{f.field}`")
+            if f.name in as_text:
+                c = F.to_json(c) if f.type in ("list", "object") else c.cast("string")
+            elif f.name in as_double and f.type == "number":
+                c = c.cast("double")
+            columns.append(c.alias(f.name))
+        parts.append(df.select(*columns))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

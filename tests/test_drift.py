@@ -147,3 +147,30 @@ def test_greedy_pairs_of_random_numbers(spark):
     got = run(spark, *[KEEP | {f"/{k}.{j}": round(r.uniform(90, 120), 3) for j in range(12)} for k in range(6)])
     found = {tuple(r) for r in schema_changes(*got).select("file", "change", "path", "new_path").collect()}
     assert found == by_hand(got[0].collect(), got[1].collect())
+
+
+def test_files_by_their_footers(spark, tmp_path):
+    """Three files of one producer: a renamed number, a type that changes, a field that comes and one that goes."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from marklake.operators.drift import file_changes, footers, read_consistently
+
+    folder = tmp_path / "maker"
+    folder.mkdir()
+    tables = [
+        {"id": [1, 2], "speed": [10.0, 12.0], "note": ["a", "b"], "size": [1, 2], "tags": [["x"], ["y", "z"]]},
+        {"id": [3], "velocity": [11.1], "note": ["c"], "size": ["big"], "tags": [["w"]]},
+        {"id": [4.5], "velocity": [11.0], "size": ["small"], "extra": [True], "tags": [None]},
+    ]
+    for k, t in enumerate(tables):
+        path = folder / f"f{k}.parquet"
+        pq.write_table(pa.table(t) if k < 2 else pa.table({**t, "tags": pa.array([None], pa.list_(pa.string()))}), path)
+        os.utime(path, (1_900_000_000 + 100 * k,) * 2)
+    fields, files = footers(spark, str(tmp_path))
+    got = {(r.file[-10:], r.change, r.path, r.new_path) for r in file_changes(fields, files).collect()}
+    assert got == {("f1.parquet", "renamed", "speed", "velocity"), ("f1.parquet", "type_changed", "size", ""), ("f2.parquet", "removed", "note", ""), ("f2.parquet", "added", "extra", "")}
+    rows = {r.id: r for r in read_consistently(spark, fields, files, "maker").collect()}
+    assert [rows[k].velocity for k in (1.0, 2.0, 3.0, 4.5)] == [10.0, 12.0, 11.1, 11.0] and rows[1.0]["size"] == "1" and rows[4.5]["size"] == "small" and rows[4.5].extra is True and rows[3.0].note == "c"
