@@ -37,44 +37,60 @@ def as_bits(m: np.ndarray) -> np.ndarray:
 VIEWS = {"numbers": lambda m: m, "phases": as_phases, "bits": as_bits, "trits": np.sign}
 
 
-def scan(marks: DataFrame, queries: DataFrame, k: int | None = None, view: str = "numbers", places: int | None = None, block: int = 4096) -> DataFrame:
-    """(qid, id, score) of all marks but the query itself, or of those among a query's k best of their batch, ties included.
+def _length(asked: DataFrame) -> int | None:
+    """The length that most queries have, of equally frequent ones the least."""
+    most = asked.groupBy(F.size("mark").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return most.n if most else None
 
-    marks: (id, mark), queries: (qid, mark), integer arrays of one length; places: only so many leading places. Rows with null
-    ids, marks or values and other lengths take no part.
+
+def scan(marks: DataFrame, queries: DataFrame, k: int | None = None, view: str = "numbers", places: int | None = None, dims: int | None = None, block: int = 65_536, cell: int = 4_000_000) -> DataFrame:
+    """(qid, id, score) of all marks but the query itself, or of those among a query's k best of their task's marks so far, ties included.
+
+    marks: (id, mark), queries: (qid, mark), integer arrays of one length, `dims` or what most queries have; places: only so many leading places. Rows with null
+    ids, marks or values and other lengths take no part. A task holds `block` queries and `cell` scores at a time.
     """
     spark = marks.sparkSession
-    asked = queries.where("qid is not null and mark is not null").select(F.col("qid").cast("long").alias("qid"), F.col("mark").cast("array<int>").alias("mark"))
-    total, results = asked.count(), []
-    n_blocks = max(1, -(-total // block))
-    kept = marks.where("id is not null and mark is not null").where(~F.exists("mark", lambda x: x.isNull())).select(F.col("id").cast("long").alias("id"), F.col("mark").cast("array<int>").alias("mark"))
+    asked = queries.where("qid is not null and mark is not null").where(~F.exists("mark", lambda x: x.isNull())).select(F.col("qid").cast("long").alias("qid"), F.col("mark").cast("array<int>").alias("mark"))
+    dims = dims or _length(asked.where("size(mark) > 0"))
+    if not dims:
+        return spark.createDataFrame([], SCORES)
+    asked, used = asked.where(F.size("mark") == dims), min(places or dims, dims)
+    n_blocks, results = max(1, -(-asked.count() // block)), []
+    kept = marks.where("id is not null and mark is not null").where((F.size("mark") == dims) & ~F.exists("mark", lambda x: x.isNull())).select(F.col("id").cast("long").alias("id"), F.col("mark").cast("array<int>").alias("mark"))
     for b in range(n_blocks):
-        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b).collect() if total else []
-        rows = [r for r in rows if len(r.mark) and all(x is not None for x in r.mark)]
-        if not rows:
+        rows = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b).toArrow()
+        if not rows.num_rows:
             continue
-        dims = len(rows[0].mark)
-        rows = [r for r in rows if len(r.mark) == dims]
-        used = min(places or dims, dims)
-        shared = spark.sparkContext.broadcast((np.array([r.qid for r in rows]), VIEWS[view](np.array([r.mark for r in rows], dtype=np.int64)[:, :used]).astype(np.float64)))
+        shared = spark.sparkContext.broadcast((rows.column("qid").to_numpy(), VIEWS[view](_numbers(rows.column("mark").combine_chunks(), dims)[:, :used])))
 
-        def go(batches: Iterator[pa.RecordBatch], shared=shared, dims=dims, used=used) -> Iterator[pa.RecordBatch]:
+        def go(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
+            best = np.full((len(qid), k), -np.inf) if k else None  # the k best scores so far
             for batch in batches:
-                batch = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column("mark")), dims))
-                if not batch.num_rows:
-                    continue
-                ids = batch.column("id").to_numpy()
-                m = VIEWS[view](_numbers(batch.column("mark"), dims)[:, :used]).astype(np.float64)
-                score = np.rint(q @ m.T).astype(np.int64)  # whole numbers below 2^53 are exact
-                own = qid[:, None] == ids[None]
-                if k is None or k >= len(ids):
-                    keep = ~own
-                else:
-                    ranked = np.where(own, np.iinfo(np.int64).min, score)
-                    keep = (ranked >= np.partition(ranked, len(ids) - k, axis=1)[:, len(ids) - k, None]) & ~own
-                r, c = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(ids[c]), pa.array(score[r, c])], ["qid", "id", "score"])
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    ids = part.column("id").to_numpy()
+                    m = VIEWS[view](_numbers(part.column("mark"), dims)[:, :used])
+                    exact = float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * m.shape[1]
+                    kind = np.float32 if exact < 2**24 else np.float64  # whole numbers below these bounds are exact
+                    m = np.ascontiguousarray(m.T.astype(kind))
+                    size = max(1, cell // len(ids))
+                    for a in range(0, len(qid), size):
+                        score = q[a : a + size].astype(kind) @ m
+                        own = np.isin(qid[a : a + size], ids)
+                        if own.any():
+                            own = np.flatnonzero(own)
+                            i, j = np.nonzero(qid[a + own][:, None] == ids[None])
+                            score[own[i], j] = -np.inf
+                        if k:
+                            hit = np.flatnonzero(score.max(1) >= best[a : a + size, 0])
+                            both = np.concatenate([best[a + hit], score[hit]], 1)
+                            best[a + hit] = np.sort(np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :], axis=1)
+                            i, c = np.nonzero((score[hit] >= best[a + hit, :1]) & (score[hit] > -np.inf))
+                            r = hit[i]
+                        else:
+                            r, c = np.nonzero(score > -np.inf)
+                        yield pa.RecordBatch.from_arrays([pa.array(qid[a + r]), pa.array(ids[c]), pa.array(np.rint(score[r, c]).astype(np.int64))], ["qid", "id", "score"])
 
         results.append(kept.mapInArrow(go, SCORES))
     return reduce(DataFrame.unionByName, results) if results else spark.createDataFrame([], SCORES)
