@@ -26,3 +26,9 @@ n as (select record_id, '' as parent_path, '' as node_path, {_OPEN.format("body:
 union all select record_id, node_path, node_path || '/' || k, {_OPEN.format("c")} from (select record_id, node_path, k, case when json_type(j) = 'ARRAY' then json_extract(j, '$[' || k || ']') else json_extract(j, '$."' || k || '"') end as c
 from (select record_id, node_path, j, unnest(case when json_type(j) = 'OBJECT' then json_keys(j) when json_type(j) = 'ARRAY' then list_transform(range(cast(json_array_length(j) as bigint)), lambda x: cast(x as varchar)) else [] end) as k from n)))
 select record_id, parent_path, node_path from n where node_path <> ''"""
+
+_GENERIC = r"regexp_replace(regexp_replace(node_path, '/[0-9]+(/|$)', '/[]\1', 'g'), '/[0-9]+(/|$)', '/[]\1', 'g')"
+_KIND = "case json_type(j) when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end"
+
+P6_SCHEMA = P6[: P6.rindex("select record_id")] + f"""select path, array_to_string(list_sort(list(distinct kind)), '|') as kinds, count(*) as nodes, count(distinct record_id) as records
+from (select record_id, {_GENERIC} as path, {_KIND} as kind from n where node_path <> '') group by path"""

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marklake.operators.drift import consistent_values, schema_changes
-from marklake.operators.nested import child_table, merged_schema, shredded
+from marklake.operators.nested import catalogue, child_table, linked, merged_schema, shredded
 from marklake.operators.spikes import implausible
 from marklake.plans import reference, reference_more, reference_vectors
-from marklake.plans.problems_sql import P1, P6
+from marklake.plans.problems_sql import P1, P6, P6_SCHEMA
 from marklake.sources.shared import table
 
 
@@ -39,7 +39,14 @@ def p6_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return child_table(shredded(table(spark, sf_dir, "raw_record")), "/arms/[]", ["arm", "params", "steps", "nats_1x", "nats_2x", "ternary_ok"])
+    """The flat table of the objects in `arms`, with the columns of the merged schema that all sizes have."""
+    nodes = shredded(table(spark, sf_dir, "raw_record"))
+    parent, columns = catalogue(merged_schema(nodes))["/arms/[]"]
+    return child_table(nodes, "/arms/[]", columns, parent)
+
+
+def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(shredded(table(spark, sf_dir, "raw_record")))
 
 
 flagship = reference.flagship
@@ -47,8 +54,8 @@ assert reference_more and reference_vectors  # they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return reference.QUERIES | {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_values, p6_found, p6_schema, p6_arms)}
+    return reference.QUERIES | {f.__name__: f for f in (p1_found, p1_reasons, p5_found, p5_values, p6_found, p6_schema, p6_arms, p6_tables)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference.SQL | {"p1_found": P1, "p6_found": P6}
+    return reference.SQL | {"p1_found": P1, "p6_found": P6, "p6_schema": P6_SCHEMA}

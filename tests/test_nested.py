@@ -1,7 +1,7 @@
 import json
 import random
 
-from marklake.operators.nested import child_table, merged_schema, shredded
+from marklake.operators.nested import catalogue, child_tables, linked, merged_schema, shredded
 
 BODIES = [
     '{"a":1} x', '{"a":1}{"b":2}', '{"a":1}],[{}', '{"a":1},"x":{}', '{"a":NaN}', "{'a':1}", '{"a":', '{"a":01}', "", "  ", "null", "5", None, '[1,[2,{}],"[3]"]', '{"a":1,}', '{"a":1e400}',
@@ -60,13 +60,25 @@ def test_random_records(spark):
 
 
 def test_flat_tables(spark):
-    body = '{"arms":[{"arm":"A","nats_1x":1.5},{"arm":"B","nats_1x":null,"curve":{"200":2}}]}'
-    nodes = shredded(spark.createDataFrame([(1, body)], "record_id long, body string"))
-    arms = {r.arm: r for r in child_table(nodes, "/arms/[]", ["arm", "nats_1x"]).collect()}
-    assert (arms["A"].ordinal, arms["A"].nats_1x, arms["B"].nats_1x) == (0, "1.5", "null")
-    assert arms["A"].parent_key == next(r.node_key for r in nodes.collect() if r.node_path == "/arms")
+    bodies = ['{"run":7,"arms":[{"arm":"A","nats_1x":1.5,"ordinal":3},{"arm":"B","nats_1x":null,"ok":true,"curve":{"200":2,"400":"x"}}],"grid":[[1,2],[3]]}', '{"run":"eight","arms":[]}']
+    nodes = shredded(spark.createDataFrame(list(enumerate(bodies)), "record_id long, body string"))
     kinds = {r.path: r.kinds for r in merged_schema(nodes).collect()}
     assert kinds["/arms/[]/nats_1x"] == "null|number" and kinds["/arms/[]"] == "object"
+    assert catalogue(merged_schema(nodes)) == {
+        "": ("", {"run": "string"}),
+        "/arms/[]": ("", {"arm": "string", "nats_1x": "double", "ok": "boolean", "ordinal": "double"}),
+        "/arms/[]/curve": ("/arms/[]", {}),
+        "/arms/[]/curve/[]": ("/arms/[]/curve", {"value": "string"}),
+        "/grid/[]/[]": ("", {"value": "double"}),
+    }
+    tables = {p: t.collect() for p, t in child_tables(nodes).items()}
+    root, arms = {r.record_id: r for r in tables[""]}, {r.arm: r for r in tables["/arms/[]"]}
+    assert (root[0].run, root[1].run) == ("7", "eight")
+    assert (arms["A"].ordinal, arms["A"].ordinal_, arms["A"].nats_1x, arms["B"].nats_1x, arms["B"].ok, arms["A"].ok) == (0, 3.0, 1.5, None, True, None)
+    assert arms["A"].parent_key == arms["B"].parent_key == root[0].row_key and tables["/arms/[]/curve"][0].parent_key == arms["B"].row_key
+    assert {(r.row_name, r.value, r.parent_key) for r in tables["/arms/[]/curve/[]"]} == {("200", "2", tables["/arms/[]/curve"][0].row_key), ("400", "x", tables["/arms/[]/curve"][0].row_key)}
+    assert sorted(r.value for r in tables["/grid/[]/[]"]) == [1.0, 2.0, 3.0] and {r.parent_key for r in tables["/grid/[]/[]"]} == {root[0].row_key}
+    assert {(r.path, r.rows) for r in linked(nodes).collect()} == {("/arms/[]", 2), ("/arms/[]/curve", 1), ("/arms/[]/curve/[]", 2), ("/grid/[]/[]", 3)}
 
 
 def test_empty(spark):
