@@ -1,10 +1,9 @@
 """Ordered patterns of steps that many sessions share, gaps allowed, with the number of sessions that contain each.
 
 Prefix-projected growth. The steps are kept once as item codes per stretch of a session (steps.py), each stretch followed by a copy of
-the few steps that a pattern begun in it can still reach; so every occurrence lies in one row and all rows are independent. At each
-level the projection of a frequent prefix is the set of pointers to the steps where an occurrence of it ends; it is extended by each of the next
-`gap` steps. The extended prefixes with the sessions that hold them are spread over the workers by prefix to be counted. A session in one
-stretch is counted where it lies; for one in several stretches the pairs (pattern, session) are made distinct first, so each session counts once.
+the few steps that a pattern begun in it can still reach; so every occurrence lies in one row. The projection of a frequent item is a table of suffixes: what can follow each of its occurrences. Growing reads a
+projection, extends its prefix by each of the suffix's next `gap` steps, counts the sessions that hold the extended prefix, and keeps the projection of those that are frequent, shorter by the steps passed; so each level grows from
+the one before, never from the sessions. A projection is spread over the workers by prefix, and by session within it, since one prefix may have a third of all rows: all suffixes of a prefix and session lie together, so every session counts once.
 
 Only frequent items, prefixes and patterns come to the driver. There are few by definition: at most 1/min_share times as many as one session holds on
 average, whatever the number of sessions.
@@ -50,85 +49,129 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([sess], pa.string()), pa.array([stretch]), pa.array([np.concatenate(parts)], pa.list_(pa.int64()))], schema=_LISTS)
 
 
-def grown(items: np.ndarray, row: np.ndarray, own: np.ndarray, levels: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, pattern) of every occurrence one item longer than the last of `levels`, each pair once.
-
-    items: item codes, -1 if infrequent. own: whether an occurrence may begin there. levels: for each length from 2 the sorted codes of the frequent
-    patterns, prefix number * number of items + item. The pattern returned is such a code.
-    """
-    n_items = int(levels[0][0])
-    end = np.flatnonzero((items >= 0) & own)
-    prefix, members = items[end].astype(np.int64), [items[end]]
-    for level in [*levels[1:], None]:
-        ends, codes, held = [], [], []
-        for g in range(1, gap + 1):
-            to = end + g
-            inside = to < len(items)
-            src = np.flatnonzero(inside)
-            src = src[(row[to[src]] == row[end[src]]) & (items[to[src]] >= 0)]
-            item = items[to[src]]
-            fresh = np.ones(len(src), dtype=bool)
-            for m in members:
-                fresh &= m[src] != item
-            src, item = src[fresh], item[fresh]
-            ends.append(to[src])
-            codes.append(prefix[src] * n_items + item)
-            held.append([*(m[src] for m in members), item])
-        end, code = np.concatenate(ends), np.concatenate(codes)
-        if level is None:
-            break
-        at = np.searchsorted(level, code)
-        at[at == len(level)] = 0
-        ok = np.flatnonzero(level[at] == code) if len(level) else np.zeros(0, dtype=np.int64)
-        _, once = np.unique(end[ok] * max(len(level), 1) + at[ok], return_index=True)  # one pointer per prefix and end
-        ok = ok[once]
-        members = [np.concatenate(column)[ok] for column in zip(*held)]
-        end, prefix = end[ok], at[ok].astype(np.int64)
-    size = int(code.max()) + 1 if len(code) else 1
-    pairs = np.unique(row[end] * size + code)
-    return pairs // size, pairs % size
-
-
-def _counter(level: int, frequent: np.ndarray | None, levels: list[np.ndarray], gap: int):
-    """Counts of items (level 1) or of patterns one longer than the known levels, per batch of stretches."""
-    schema = pa.schema([("code", pa.int64()), ("sess", pa.string()), ("n", pa.int64())])
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(items, row, own) of stretches with what follows them: own ones and then those of `after`, row by row."""
+    lists, after = batch.column("items"), batch.column("after")
+    n_own, n_after = np.diff(lists.offsets.to_numpy()), np.diff(after.offsets.to_numpy())
+    row = np.concatenate([np.repeat(np.arange(len(n_own)), n_own), np.repeat(np.arange(len(n_after)), n_after)])
+    order = np.argsort(row, kind="stable")
+    items = np.concatenate([lists.flatten().to_numpy(), after.flatten().to_numpy()])
+    return items[order], row[order], (np.arange(len(row)) < int(n_own.sum()))[order]
+
+
+def _item_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, owner, n): sessions of one stretch are counted where they lie, of others the pairs of item and session go on."""
+    for batch in batches:
+        items, row, own = _flat(batch)
+        codes, back = np.unique(items[own], return_inverse=True)
+        pairs = np.unique(row[own] * max(len(codes), 1) + back)
+        of, code = pairs // max(len(codes), 1), codes[pairs % max(len(codes), 1)]
+        several = batch.column("several").to_numpy(zero_copy_only=False)[of] if len(of) else np.zeros(0, dtype=bool)
+        alone, n = np.unique(code[~several], return_counts=True)
+        owner = batch.column("owner").to_numpy()[of[several]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([alone, code[several]]).astype(np.int64)), pa.concat_arrays([pa.nulls(len(alone), pa.int64()), pa.array(owner, pa.int64())]), pa.array(np.concatenate([n, np.ones(len(owner))]).astype(np.int64))], ["code", "owner", "n"]
+        )
+
+
+_PROJECTION = "prefix int, owner long, suffix array<int>"
+
+
+def _suffixes(prefix: np.ndarray, owner: np.ndarray, suffix: np.ndarray) -> pa.RecordBatch:
+    """Projection rows, equal ones once; of a suffix only what comes before its last known item, as the rest cannot be reached."""
+    if len(prefix):
+        keys = np.concatenate([prefix[:, None].astype(np.int64), owner[:, None], suffix.astype(np.int64)], 1)
+        keys = np.ascontiguousarray(keys).view([("", keys.dtype)] * keys.shape[1]).ravel()
+        _, once = np.unique(keys, return_index=True)
+        prefix, owner, suffix = prefix[once], owner[once], suffix[once]
+    offsets = np.arange(len(prefix) + 1, dtype=np.int32) * suffix.shape[1]
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(suffix.ravel().astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(prefix.astype(np.int32)), pa.array(owner.astype(np.int64)), lists], ["prefix", "owner", "suffix"])
+
+
+def _first(frequent: np.ndarray, reach: int):
+    """The projection of every frequent item: its occurrences' next `reach` steps as numbers of frequent items, -1 for others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 2000):
                 batch = whole.slice(begin, 2000)
-                lists, after = batch.column("items"), batch.column("after")
-                n_own = np.diff(lists.offsets.to_numpy())
-                n_after = np.diff(after.offsets.to_numpy())
-                own_items, after_items = lists.flatten().to_numpy(), after.flatten().to_numpy()
-                row = np.concatenate([np.repeat(np.arange(len(n_own)), n_own), np.repeat(np.arange(len(n_after)), n_after)])
-                order = np.argsort(row, kind="stable")
-                row, own = row[order], (np.arange(len(row)) < len(own_items))[order]
-                items = np.concatenate([own_items, after_items])[order]
-                if level == 1:
-                    pairs_row, back = row[own], items[own]
-                    codes, back = np.unique(back, return_inverse=True)
-                    pairs = np.unique(pairs_row * len(codes) + back)
-                    pairs_row, code = pairs // max(len(codes), 1), codes[pairs % max(len(codes), 1)]
-                else:
-                    at = np.searchsorted(frequent, items)
-                    at[at == len(frequent)] = 0
-                    pairs_row, code = grown(np.where(frequent[at] == items, at, -1), row, own, levels, gap)
-                several = batch.column("several").to_numpy(zero_copy_only=False)[pairs_row] if len(pairs_row) else np.zeros(0, dtype=bool)
-                alone, n = np.unique(code[~several], return_counts=True)
-                sess = batch.column("sess").take(pa.array(pairs_row[several]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([alone, code[several]]).astype(np.int64)), pa.concat_arrays([pa.nulls(len(alone), pa.string()), sess.cast(pa.string())]), pa.array(np.concatenate([n, np.ones(int(several.sum()), dtype=np.int64)]).astype(np.int64))],
-                    schema=schema,
-                )
+                items, row, own = _flat(batch)
+                at = np.searchsorted(frequent, items)
+                at[at == len(frequent)] = 0
+                number = np.where(frequent[at] == items, at, -1)
+                start = np.flatnonzero((number >= 0) & own)
+                to = start[:, None] + np.arange(1, reach + 1)
+                inside = to < len(items)
+                to = np.where(inside, to, 0)
+                suffix = np.where(inside & (row[to] == row[start][:, None]), number[to], -1)
+                some = (suffix >= 0).any(1)
+                yield _suffixes(number[start[some]], batch.column("owner").to_numpy()[row[start[some]]], suffix[some])
+
+    return run
+
+
+def _extensions(batch: pa.RecordBatch, members: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, step, item) of every extension by a new item within the gap, and the batch's prefixes and suffixes."""
+    prefix = batch.column("prefix").to_numpy()
+    suffix = batch.column("suffix").flatten().to_numpy().reshape(len(prefix), -1)
+    near = suffix[:, :gap]
+    fresh = (near >= 0) & ~(near[:, :, None] == members[prefix][:, None, :]).any(2)
+    row, step = np.nonzero(fresh)
+    return row, step, near[row, step], prefix, suffix
+
+
+def _counted(members: np.ndarray, n_items: int, gap: int):
+    """(code, n): in how many sessions each extended prefix is found; code: prefix number * number of items + item. The rows of a prefix and session follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None
+        seen: np.ndarray = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            row, _, item, prefix, _ = _extensions(batch, members, gap)
+            if not len(prefix):
+                continue
+            owner = batch.column("owner").to_numpy()
+            group = np.concatenate([[0], np.cumsum((prefix[1:] != prefix[:-1]) | (owner[1:] != owner[:-1]))])
+            found = np.unique(group[row] * np.int64(n_items) + item)
+            of, item = found // n_items, found % n_items
+            if last == (int(prefix[0]), int(owner[0])):  # the last batch ended inside this session
+                again = (of == 0) & np.isin(item, seen)
+                carried = np.union1d(seen, item[of == 0])
+                of, item = of[~again], item[~again]
+            else:
+                carried = item[of == 0]
+            seen = carried if group[-1] == 0 else item[of == group[-1]]
+            last = int(prefix[-1]), int(owner[-1])
+            begin = np.flatnonzero(np.diff(group, prepend=-1))
+            codes, n = np.unique(prefix[begin][of].astype(np.int64) * n_items + item, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+
+    return run
+
+
+def _projected(members: np.ndarray, n_items: int, gap: int, level: np.ndarray, reach: int):
+    """The projection of the frequent extended prefixes (sorted codes `level`): what is left of the suffixes, `reach` steps at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, step, item, prefix, suffix = _extensions(batch, members, gap)
+            code = prefix[row].astype(np.int64) * n_items + item
+            at = np.searchsorted(level, code)
+            at[at == len(level)] = 0
+            ok = np.flatnonzero(level[at] == code)
+            row, step, at = row[ok], step[ok], at[ok]
+            to = step[:, None] + np.arange(1, reach + 1)
+            rest = np.where(to < suffix.shape[1], suffix[row[:, None], np.minimum(to, suffix.shape[1] - 1)], -1)
+            some = (rest >= 0).any(1)
+            yield _suffixes(at[some], batch.column("owner").to_numpy()[row[some]], rest[some])
 
     return run
 
 
-def _supported(rows: DataFrame, run, least: int) -> list:
-    counts = rows.mapInArrow(run, "code long, sess string, n long").groupBy("code", "sess").agg(F.sum("n").alias("n"))
-    counts = counts.groupBy("code").agg(F.sum(F.when(F.col("sess").isNull(), F.col("n")).otherwise(1)).alias("n"))
-    return counts.where(F.col("n") >= least).collect()
+def _spread(projection: DataFrame, salts: int = 64) -> DataFrame:
+    """Rows of a prefix and session together, a prefix over `salts` parts."""
+    return projection.repartition("prefix", F.pmod(F.xxhash64("owner"), F.lit(salts))).sortWithinPartitions("prefix", "owner")
 
 
 def frequent_patterns(
@@ -139,32 +182,39 @@ def frequent_patterns(
     item = F.concat(F.col(tool), F.lit(":"), F.coalesce(F.col(arg), F.lit("(none)")))
     cut = stretches(df, sess, pos, step, tool, width, {"item": F.xxhash64(item)})
     reach = gap * (longest - 1)
-    lists = written(cut.mapInArrow(_rows, "sess string, stretch long, items array<long>"), "steps")
+    lists = written(cut.mapInArrow(_rows, "sess string, stretch long, items array<long>").withColumn("row", F.monotonically_increasing_id()), "steps")
     w = Window.partitionBy("sess").orderBy("stretch")
-    heads = lists.select("sess", "stretch", F.slice("items", 1, reach).alias("head")).select("sess", "stretch", F.slice(F.flatten(F.collect_list("head").over(w.rowsBetween(1, reach))), 1, reach).alias("after"), F.count(F.lit(1)).over(Window.partitionBy("sess")).alias("parts"))
-    rows = written(
-        lists.join(heads.where("parts > 1"), ["sess", "stretch"], "left").select("sess", F.col("parts").isNotNull().alias("several"), "items", F.coalesce("after", F.array().cast("array<bigint>")).alias("after")),
-        "reaching",
+    session = Window.partitionBy("sess")
+    heads = lists.select("sess", "stretch", "row", F.slice("items", 1, reach).alias("head")).select(
+        "sess", "stretch", F.slice(F.flatten(F.collect_list("head").over(w.rowsBetween(1, reach))), 1, reach).alias("after"), F.count(F.lit(1)).over(session).alias("parts"), F.min("row").over(session).alias("session")
     )
-    sessions = rows.where(~F.col("several")).count() + rows.where("several").select("sess").distinct().count()
+    joined = lists.join(heads.where("parts > 1"), ["sess", "stretch"], "left")
+    rows = written(joined.select(F.coalesce("session", "row").alias("owner"), F.col("parts").isNotNull().alias("several"), "items", F.coalesce("after", F.array().cast("array<bigint>")).alias("after")), "reaching")
+    sessions = rows.where(~F.col("several")).count() + rows.where("several").select("owner").distinct().count()
     least = max(min_sessions, int(np.ceil(round(sessions * min_share, 9))))
+    counts = rows.mapInArrow(_item_counts, "code long, owner long, n long").groupBy("code", "owner").agg(F.sum("n").alias("n"))
+    counts = counts.groupBy("code").agg(F.sum(F.when(F.col("owner").isNull(), F.col("n")).otherwise(1)).alias("n"))
+    frequent = sorted(r.code for r in counts.where(F.col("n") >= least).collect())
     found: list[tuple[str, int, int]] = []
-    frequent = sorted(r.code for r in _supported(rows, _counter(1, None, [], gap), least))
+    tables = [lists, rows]
     if frequent:
         hashed = df.where(F.col(tool).isNotNull()).select(item.alias("item")).withColumn("code", F.xxhash64("item"))
         names = {r.code: r for r in hashed.where(F.col("code").isin(frequent)).groupBy("code").agg(F.min("item").alias("a"), F.max("item").alias("b")).collect()}
         if any(r.a != r.b for r in names.values()):
             raise ValueError("two items share a 64-bit hash")
-        codes = np.array(frequent, dtype=np.int64)
-        prefixes = [(names[c].a,) for c in frequent]
-        items, levels = [p[0] for p in prefixes], [np.array([len(frequent)])]
+        n_items, prefixes = len(frequent), [(k,) for k in range(len(frequent))]
+        projection = rows.mapInArrow(_first(np.array(frequent, dtype=np.int64), reach), _PROJECTION)
         for length in range(2, longest + 1):
-            level = sorted(_supported(rows, _counter(length, codes, list(levels), gap), least), key=lambda r: r.code)
-            prefixes = [(*prefixes[r.code // len(items)], items[r.code % len(items)]) for r in level]
-            found += [(" > ".join(p), length, r.n) for p, r in zip(prefixes, level)]
-            if not level:
+            members = np.array(prefixes)
+            projection = written(projection, f"projection-{length}")
+            tables.append(projection)
+            support = _spread(projection).mapInArrow(_counted(members, n_items, gap), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+            level = sorted(support.where(F.col("n") >= least).collect(), key=lambda r: r.code)
+            prefixes = [(*prefixes[r.code // n_items], r.code % n_items) for r in level]
+            found += [(" > ".join(names[frequent[k]].a for k in p), length, r.n) for p, r in zip(prefixes, level)]
+            if not level or length == longest:
                 break
-            levels.append(np.array([r.code for r in level], dtype=np.int64))
-    dropped(lists)
-    dropped(rows)
+            projection = projection.mapInArrow(_projected(members, n_items, gap, np.array([r.code for r in level], dtype=np.int64), gap * (longest - length)), _PROJECTION)
+    for t in tables:
+        dropped(t)
     return spark.createDataFrame(found, "pattern string, length int, sessions long")
