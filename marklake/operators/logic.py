@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marklake.sources.shared import written
 
+COMPACT = 8  # rounds
 Atom = tuple[str, ...]
 SCHEMA = "pred string, args array<string>"
 
@@ -49,13 +50,22 @@ def matched(facts: DataFrame, atom: Atom, k: int) -> DataFrame:
     return rows.select(*[c.alias(t) for t, c in columns.items()], F.struct("pred", "args").alias(f"premise_{k}"))
 
 
+def connected(body: tuple[Atom, ...], first: int) -> list[int]:
+    """The atoms in an order from `first` on in which each shares a variable with one before it, where the rule allows."""
+    order, rest = [first], [k for k in range(len(body)) if k != first]
+    while rest:
+        known = {t for k in order for t in body[k][1:] if variable(t)}
+        order.append(rest.pop(next((n for n, k in enumerate(rest) if known & set(body[k][1:])), 0)))
+    return order
+
+
 def fired(rule: Rule, facts: DataFrame, delta: DataFrame) -> DataFrame:
-    """(pred, args, premises) of every use of the rule with a premise in delta."""
+    """(pred, args, premises) of every use of the rule with a premise in delta. The new premise comes first, so what is joined stays small. Only a rule whose body falls into parts without a common variable asks for their product."""
     out = None
     for new in range(len(rule.body)):
         joined = None
-        for k, atom in enumerate(rule.body):
-            rows = matched(delta if k == new else facts, atom, k)
+        for k in connected(rule.body, new):
+            rows = matched(delta if k == new else facts, rule.body[k], k)
             shared = [] if joined is None else [c for c in rows.columns if c in joined.columns]
             joined = rows if joined is None else joined.join(rows, shared) if shared else joined.join(rows)
         args = F.array(*[F.col(t) if variable(t) else F.lit(t) for t in rule.head[1:]])
@@ -64,11 +74,11 @@ def fired(rule: Rule, facts: DataFrame, delta: DataFrame) -> DataFrame:
     return out
 
 
-def chained(facts: DataFrame, rules: list[Rule], most: int = 10_000, justify: bool = True) -> tuple[DataFrame, DataFrame]:
+def chained(facts: DataFrame, rules: list[Rule], justify: bool = True) -> tuple[DataFrame, DataFrame]:
     """(beliefs with their depth, justifications). Depth 0 is given; a derived fact's is the round that first gave it: 1 more than the deepest premise of its shallowest proof. Without `justify` no justifications are kept."""
     base = written(facts.select("pred", "args").where("pred is not null and args is not null").distinct().withColumn("depth", F.lit(0).cast("long")), "beliefs")
     beliefs, delta, uses, depth = base, base, None, 0
-    while depth < most:
+    while True:
         depth += 1
         step = None
         for number, rule in enumerate(rules):
@@ -83,6 +93,9 @@ def chained(facts: DataFrame, rules: list[Rule], most: int = 10_000, justify: bo
         if delta.isEmpty():
             break
         beliefs = beliefs.unionByName(delta)
+        if depth % COMPACT == 0:  # else every round would read one more table
+            beliefs = written(beliefs, "beliefs")
+            uses = written(uses, "uses") if uses is not None else None
     if uses is None:
         uses = facts.sparkSession.createDataFrame([], f"{SCHEMA}, premises array<struct<pred: string, args: array<string>>>, rule int")
     return beliefs, uses.distinct()

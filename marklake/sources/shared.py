@@ -29,10 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _application(spark: SparkSession) -> str:
+    """The application's own folder in the shared one. The file system deletes it when the application ends."""
+    folder = f"{shared_dir(spark)}/marklake-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_marklake_folder", None) != folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        spark.sparkContext._marklake_folder = folder
+    return folder
+
+
 def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df as a Parquet table in the shared folder: the plan above reads the files, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_application(spark)}/{label}-{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
     if partition_by:
         out = out.partitionBy(*partition_by)
@@ -40,6 +52,14 @@ def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession) -> None:
+    """Deletes all tables made by written() in this application, for a caller who reads none of its queries any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application(spark))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.listStatus(path):
+        system.delete(status.getPath(), True)
+
+
 def summed(parts: DataFrame, size: int, fan: int = 32) -> np.ndarray:
     """The sum of a column `part` of float64 vectors (bytes): added up in a tree, of which no task holds more than about `fan` parts and the driver one."""
 

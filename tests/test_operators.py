@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marklake.functions import text
 from marklake.functions.phases import sectors
 from marklake.operators import decode, folds, logic, memory, program, similarity, triples
 from marklake.operators.shifts import shifts
@@ -200,3 +201,43 @@ def test_shifts_cross_pieces(spark):
     rows = [("m", k, float(b), 0.3) for k, b in enumerate([0, 1, 2, 3, 0, 0, 0, 0, 0, 5, 4])] * 1
     got = {(r.n, r.shift) for r in shifts(spark.createDataFrame(rows, "k string, t long, b double, l double"), "k", F.floor(F.col("t") / 3), ["t"], F.col("b"), F.col("l")).collect()}
     assert got == {(2, 1), (3, 1), (7, -1), (8, -1)}
+
+
+def test_closure_of_ways_and_rings(spark):
+    rng = random.Random(9)
+    edges = {(k, k + 1) for k in range(37)} | {(rng.randrange(38), rng.randrange(38)) for _ in range(12)} | {(5, 5)}
+    want: dict[tuple[int, int], int] = {}
+    for a in range(38):
+        seen, front, hops = {}, {a}, 0
+        while front:
+            hops += 1
+            front = {d for s, d in edges if s in front} - seen.keys()
+            seen |= dict.fromkeys(front, hops)
+        want |= {(a, b): h for b, h in seen.items()}
+    df = spark.createDataFrame([*edges, (None, 1), (0, 1)], "src long, dst long")
+    assert {(r.src, r.dst): r.hops for r in triples.closure(df).collect()} == want
+    assert triples.closure(df.limit(0)).count() == 0
+
+
+def test_gaps_say_why(spark):
+    rows = [("strong", f"e{k}", 0.9, 0.1, None) for k in range(40)] + [("weak", f"o{k:02}", 0.1 if k < 20 else 0.5, 0.0, f"fix{k % 2}:12") for k in range(40)] + [("few", "t", 0.0, 0.9, "x:1")] + [("claims", f"d{k}", 0.9, 0.0, None) for k in range(25)]
+    df = spark.createDataFrame(rows, "head string, item string, m double, v double, because string")
+    found = memory.gaps(df, "head", F.col("m"), F.col("v"), unproved=spark.createDataFrame([("claims", 3)], "head string, unproved long"), item=F.col("item"), because=F.col("because"))
+    got = {r["head"]: r for r in found.withColumn("brief", memory.brief(found)).collect()}
+    assert set(got) == {"weak", "claims"} and got["claims"].unproved == 3 and got["weak"].abstain_rate == 0.5
+    assert got["weak"].examples == [f"o{k:02}" for k in range(10)] and got["weak"].precedents == {"fix0": 10, "fix1": 10}
+    assert "weak" in got["weak"].brief and "abstain 50%" in got["weak"].brief and "fix0 10" in got["weak"].brief and "3 unproved" in got["claims"].brief
+
+
+def test_profiles_recognise(spark):
+    table, prose = "# Plan\n| a | b |\n|---|---|\n| 1 | 2 |\n- one\n- two", "The tide answers the moon. It comes and goes, and nobody asks. Short. Then a longer sentence carries the melody home."
+    docs = spark.createDataFrame([("t", table)] * 3 + [("p", prose)] * 3, "kind string, text string")
+    features, elements = text.document_features(F.col("text")), text.structure(F.col("text"))
+    profiles = {}
+    for kind in "tp":
+        own = docs.where(F.col("kind") == kind).withColumn("doc", F.monotonically_increasing_id())
+        wanted = sorted(r.element for r in memory.template(own, "doc", elements, 0.6).collect())
+        profiles[kind] = (memory.profile(own, features), wanted)
+    assert profiles["t"][1] == ["H1:plan", "T:table"] and profiles["p"][1] == []
+    r = docs.select("kind", memory.recognised(features, elements, profiles).alias("found"), memory.fit(features, elements, profiles["t"]).alias("fit"), memory.missing(elements, profiles["t"][1]).alias("missing")).collect()
+    assert all(x.kind == x.found for x in r) and all(x.fit > 0.99 and x.missing == [] for x in r if x.kind == "t") and all(x.missing == ["H1:plan", "T:table"] for x in r if x.kind == "p")
