@@ -259,15 +259,19 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessions(table(spark, d, "events"), "ts", "user_id", "30 minutes").select("user_id", "start", "n")
 
 
-@query("""with t as (select distinct reading_id, host, ts, singles_waiting + batch_waiting as b, load from (select *, row_number() over (partition by reading_id order by arrived_at) as r from telemetry) where r = 1 and host is not null and ts is not null),
-n as (select *, row_number() over (partition by host order by ts, reading_id) - 1 as n, lag(b, 1) over w as b1, lag(b, 2) over w as b2 from t window w as (partition by host order by ts, reading_id)),
-q as (select *, case when b = 0 and load < 0.5 then 1 else 0 end as quiet from n), f as (select host, n, case when (b > b1 and b1 > b2) or (load >= 0.92 and b > 0) then 1 when sum(quiet) over (partition by host order by n rows 3 preceding) = 4 then -1 end as shift from q)
-select host as key, cast(n as bigint) as n, cast(shift as bigint) as shift from f where shift is not null""")
+@query("""with recursive t as (select host, ts, reading_id, singles_waiting as s, singles_waiting + batch_waiting as b, load from (select *, row_number() over (partition by host, ts, reading_id order by arrived_at) as r from telemetry) where r = 1 and host is not null and ts is not null),
+n as (select *, row_number() over w - 1 as n, coalesce(lag(b) over w, case when row_number() over w = 1 then 0 end) as b0 from t window w as (partition by host order by ts, reading_id)),
+q as (select host, n, coalesce(b > b0, false) as g, coalesce(load >= 0.92 and b > 0, false) as l, coalesce(b = 0 and load < 0.5, false) as c, coalesce(s > 0, false) as w from n),
+r as (select host, cast(-1 as bigint) as n, 1 as gear, 0 as grown, 0 as quiet, 1 as was from q group by host
+union all select host, n, case when batch then gear - 1 when up and not stay then gear + 1 when down then gear - 1 else gear end, case when batch or (up and not stay) then 0 else grown end, case when batch or down then 0 else quiet end, gear
+from (select *, not batch and (grown >= 2 or l) and gear < 3 as up, gear = 2 and w as stay, not batch and not ((grown >= 2 or l) and gear < 3) and quiet >= 4 and gear > 1 as down
+from (select q.host, q.n, r.gear, r.gear = 3 and q.w as batch, q.l, q.w, case when q.g then least(r.grown + 1, 2) else 0 end as grown, case when q.c then least(r.quiet + 1, 4) else 0 end as quiet from r join q on q.host = r.host and q.n = r.n + 1)))
+select host as key, cast(n as bigint) as n, cast(was as integer) as gear, cast(gear - was as bigint) as shift from r where n >= 0 and gear <> was""")
 def gear_shifts(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "telemetry").where("host is not null and ts is not null")
     once = t.groupBy("host", "ts", "reading_id").agg(F.min_by(F.struct("singles_waiting", "batch_waiting", "load"), "arrived_at").alias("v")).select("host", "ts", "reading_id", "v.*")
     cut = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_800_000_000)
-    return shifts(once, "host", cut, ["ts", "reading_id"], F.col("singles_waiting") + F.col("batch_waiting"), F.col("load"))
+    return shifts(once, "host", cut, ["ts", "reading_id"], F.col("singles_waiting") + F.col("batch_waiting"), F.col("load"), waiting=F.col("singles_waiting"))
 
 
 @query("""select e.event_id, o.o_orderkey as last_order from events e asof left join (select o_orderkey, o_custkey, o_orderdate from (select *, row_number() over (partition by o_custkey, o_orderdate order by o_orderkey desc) as r from orders) where r = 1) o on o.o_custkey = e.user_id and e.ts >= o.o_orderdate""")

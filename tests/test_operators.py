@@ -1,3 +1,4 @@
+import datetime as dt
 import hmac
 import random
 
@@ -197,10 +198,58 @@ def test_slots_come_back(spark):
     assert decode.from_residues([x % m for x, m in zip([77] * 5, (3, 5, 7, 13, 17))]) == (77, "VERIFIED")
 
 
-def test_shifts_cross_pieces(spark):
-    rows = [("m", k, float(b), 0.3) for k, b in enumerate([0, 1, 2, 3, 0, 0, 0, 0, 0, 5, 4])] * 1
-    got = {(r.n, r.shift) for r in shifts(spark.createDataFrame(rows, "k string, t long, b double, l double"), "k", F.floor(F.col("t") / 3), ["t"], F.col("b"), F.col("l")).collect()}
-    assert got == {(2, 1), (3, 1), (7, -1), (8, -1)}
+def test_a_shift_resets_its_counter(spark):
+    rows = [("m", k, float(b), 0.3) for k, b in enumerate([0, 1, 2, 3, 0, 0, 0, 0, 0, 5, 4])]
+    out = shifts(spark.createDataFrame(rows, "k string, t long, b double, l double"), "k", F.floor(F.col("t") / 3), ["t"], F.col("b"), F.col("l")).collect()
+    assert {(r.n, r.gear, r.shift) for r in out} == {(2, 1, 1), (7, 2, -1)}
+
+
+def governed(rows, temp):
+    """The same, window by window. rows: (backlog, load, waiting, temperature, seconds)."""
+    gear, grown, quiet, before, last, out = 1, 0, 0, 0.0, None, []
+    for n, (b, load, waits, t, at) in enumerate(rows):
+        burning = last is not None and at - last <= 10
+        held = temp and burning and not t < 90
+        hot = temp and t >= 95 and not burning
+        last = None if t < 90 else at if t >= 95 else last
+        was = gear
+        if hot:
+            gear = 0
+        elif held:
+            pass
+        elif gear == 3 and waits:
+            gear, grown, quiet = 2, 0, 0
+        else:
+            locked = load >= 0.92 and b > 0
+            grown, quiet = grown + 1 if b > before else 0, quiet + 1 if b == 0 and load < 0.5 else 0
+            if (grown >= 2 or locked) and gear < 3:
+                if not (gear == 2 and waits):
+                    gear, grown = gear + 1, 0
+            elif quiet >= 4 and gear > 1:
+                gear, quiet = gear - 1, 0
+        before = b
+        if gear != was:
+            out.append((n, was, gear - was))
+    return out
+
+
+@pytest.mark.parametrize("temp", [False, True])
+def test_governor_across_pieces_and_groups(spark, monkeypatch, temp):
+    from marklake.operators import shifts as module
+
+    monkeypatch.setattr(module, "PIECE", 7)
+    monkeypatch.setattr(module, "GROUP", 3)
+    rng, rows = random.Random(4), {}
+    for host in "ab":
+        b, t, own = 0, 80.0, []
+        for k in range(150):
+            b = max(0, b + rng.choice([-3, -1, 0, 1, 1, 2]))
+            t = min(99.0, max(70.0, t + rng.choice([-6.0, 0.0, 5.0])))
+            own.append((float(b), rng.choice([0.2, 0.6, 0.95]), rng.choice([0, 0, 0, 2]), t, 2 * k))
+        rows[host] = own
+    df = spark.createDataFrame([(h, dt.datetime.fromtimestamp(10**9 + r[4]), *r[:4]) for h, own in rows.items() for r in own], "k string, ts timestamp, b double, l double, w int, t double")
+    got = shifts(df, "k", F.floor(F.unix_micros("ts") / 50_000_000), ["ts"], F.col("b"), F.col("l"), waiting=F.col("w"), temperature=F.col("t") if temp else None).collect()
+    assert sorted((r.key, r.n, r.gear, r["shift"]) for r in got) == sorted((h, *x) for h, own in rows.items() for x in governed(own, temp))
 
 
 def test_closure_of_ways_and_rings(spark):
