@@ -64,10 +64,10 @@ def exhaustive(slot: np.ndarray, places: int, seed: int, least: float = 0.5) ->
     return [(int(k), float(score[k])) for k in hits[np.lexsort((hits, -score[hits]))]]
 
 
-def peeled(slot: np.ndarray, places: int, seed: int, least: float = 0.5, most: int = 256) -> list[tuple[int, float]]:
+def peeled(slot: np.ndarray, places: int, seed: int, least: float = 0.5) -> list[tuple[int, float]]:
     """The strongest member is read and subtracted, again and again, until none is strong enough or one comes twice."""
     rest, out = slot.copy(), []
-    for _ in range(most):
+    while True:
         score = (lattice(places, seed).conj() @ rest).real / places
         k = int(score.argmax())
         if score[k] < least or any(k == o for o, _ in out):
@@ -161,6 +161,13 @@ def laddered(slot: np.ndarray, places: int, seed: int) -> tuple[list[tuple[int,
     x, status = from_residues(parts)
     if status == "VERIFIED" and confidence >= 0.5 and (lattice(places, seed)[x].conj() @ slot).real / places >= 0.9 and size < 1.1:
         return [(x, confidence)], "RESONATE"
+    if size < 1.1:
+        from marklake.operators.readers import parted
+
+        parts, agreement = parted(slot, places, seed)
+        x, status = from_residues(parts)
+        if status == "VERIFIED" and agreement >= 0.5 and (lattice(places, seed)[x].conj() @ slot).real / places >= 0.9:
+            return [(x, agreement)], "PART"
     found = exhaustive(slot, places, seed)
     if found:
         return found, "SCAN"

@@ -99,3 +99,16 @@ def routed(queries: DataFrame, names: DataFrame, least: float = 0.3) -> DataFram
     near = resolved(queries, names, least, 0.0).select("qid", "name", F.lit(3).alias("p"), F.lit("spelling").alias("route"))
     every = exact.unionByName(words).unionByName(near)
     return every.groupBy("qid").agg(F.min(F.struct("p", "name", "route")).alias("b")).select("qid", "b.name", "b.route")
+
+
+def nested_facts(groups: DataFrame, facts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, polygon, o): a fact found by way of its group, in three lookups: the group's polygon at a position, the polygon's facts, the fact of a subject and relation. groups: (grp, pos, polygon), facts: (polygon, s, r, o), queries: (qid, grp, pos, s, r)."""
+    return queries.join(groups, ["grp", "pos"]).join(facts, ["polygon", "s", "r"]).select("qid", "polygon", "o")
+
+
+def registered(registrations: DataFrame, order: list[str], capacity: int) -> tuple[DataFrame, DataFrame]:
+    """(symbol, x) and (x, symbol): both ways of naming numbers. A later registration overwrites the symbol's number and the number's symbol, each by itself; numbers outside 0..capacity-1 raise an error. registrations: (symbol, x)."""
+    legal = F.col("x").isNotNull() & F.col("x").between(0, capacity - 1)
+    rows = registrations.where("symbol is not null").withColumn("x", F.when(legal, F.col("x")).otherwise(F.raise_error(F.concat(F.lit("out of bounds: "), F.coalesce(F.col("x").cast("string"), F.lit("null"))))))
+    last = F.struct(*order)
+    return rows.groupBy("symbol").agg(F.max_by("x", last).alias("x")), rows.groupBy("x").agg(F.max_by("symbol", last).alias("symbol"))
