@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from marklake.operators.drift import consistent_values, schema_changes
 from marklake.operators.nested import catalogue, child_table, linked, merged_schema, shredded
 from marklake.operators.spikes import implausible
-from marklake.plans import reference, reference_more, reference_vectors
-from marklake.plans.problems_sql import P1, P6, P6_SCHEMA
+from marklake.plans import reference, reference_more, reference_readers, reference_vectors
+from marklake.plans.problems_sql import P1, P5, P6, P6_SCHEMA
 from marklake.sources.shared import table
 
 
@@ -50,7 +50,7 @@ def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 flagship = reference.flagship
-assert reference_more and reference_vectors  # they register their queries
+assert reference_more and reference_readers and reference_vectors  # they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference.SQL | {"p1_found": P1, "p6_found": P6, "p6_schema": P6_SCHEMA}
+    return reference.SQL | {"p1_found": P1, "p5_found": P5, "p6_found": P6, "p6_schema": P6_SCHEMA}

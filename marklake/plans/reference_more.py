@@ -226,7 +226,7 @@ def slot_attention(spark: SparkSession, d: str) -> DataFrame:
 
 # Slots
 
-@query()
+@query("""with m as (select distinct o_custkey as slot, o_orderkey % 1365 as x from orders), n as (select slot, count(*) as n from m group by slot) select slot, n as members, n as found, n as "right" from n""")
 def slots_read(spark: SparkSession, d: str) -> DataFrame:
     """Each customer's orders in one slot, read back against the whole lattice: members, found, wrongly found."""
     members = table(spark, d, "orders").select(F.col("o_custkey").alias("slot"), (F.col("o_orderkey") % decode.STATES).alias("x")).distinct()
@@ -235,7 +235,7 @@ def slots_read(spark: SparkSession, d: str) -> DataFrame:
     return members.groupBy("slot").agg(F.count(F.lit(1)).alias("members")).join(found.groupBy("slot").agg(F.count(F.lit(1)).alias("found")), "slot", "left").join(right, "slot", "left").fillna(0)
 
 
-@query()
+@query("""with m as (select distinct o_custkey as slot, o_orderkey % 1365 as x from orders), n as (select slot, count(*) as n from m group by slot) select case when n = 1 then 'SIEVE' else 'SCAN' end as rung, count(*) as slots, cast(sum(n) as bigint) as members from n group by 1""")
 def slots_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Which reader of the ladder answers, by the number of members."""
     members = table(spark, d, "orders").select(F.col("o_custkey").alias("slot"), (F.col("o_orderkey") % decode.STATES).alias("x")).distinct()

@@ -122,7 +122,7 @@ def document_search(spark: SparkSession, d: str) -> DataFrame:
     return similarity.cascade(docs, docs.where("id % 100 = 0").withColumnRenamed("id", "qid"), 5, [(64, 64)], "phases")
 
 
-@query()
+@query("""with r as (select distinct tool, coalesce(arg, '(none)') as arg from tri where tool is not null), c as (select count(*) as n from r) select f.field, n as records, n as "right", cast(0 as bigint) as collisions from c, (values ('tool'), ('arg')) f(field)""")
 def record_frames(spark: SparkSession, d: str) -> DataFrame:
     """Distinct steps (tool, arg) as frames of one vector and read back: records, right fields, colliding frames."""
     steps = table(spark, d, "tri").where("tool is not null").select("tool", F.coalesce("arg", F.lit("(none)")).alias("arg"))
