@@ -39,9 +39,9 @@ def p6_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat table of the objects in `arms`, with the columns of the merged schema that all sizes have."""
+    """The flat table of the objects in the arrays `arms`, with the columns of the merged schema; without rows where no record has such an array."""
     nodes = shredded(table(spark, sf_dir, "raw_record"))
-    parent, columns = catalogue(merged_schema(nodes))["/arms/[]"]
+    parent, columns = catalogue(merged_schema(nodes)).get("/arms/[]", ("", {"arm": "string", "nats_1x": "double"}))
     return child_table(nodes, "/arms/[]", columns, parent)
 
 
