@@ -4,7 +4,7 @@
 * Stuck: a run of one value (null and NaN skipped) that is `stuck_times` times as long as the 95th percentile of that source's run lengths, that percentile
   counted as 4 at least. Runs are found piecewise and joined across pieces; run lengths are counted in a histogram per source.
 * Spike: at most three readings in a row that leap away from the level before and after. Each piece of a source's series is a profile matrix: a day per row, by the time of day, where the piece holds three days or
-  more, else a row per `width` consecutive readings. Robust principal components (principal component pursuit by augmented Lagrangians; places without a reading are left open) split it into a low-rank part, the source's
+  more and readings at a quarter of their times at least, else a row per `width` consecutive readings. Robust principal components (principal component pursuit by augmented Lagrangians; places without a reading are left open) split it into a low-rank part, the source's
   normal behaviour, and sparse residuals. A leap counts if all of its readings lie off the low-rank part by `least` times the source's short-term scatter; what a source does every day is no spike, however steep. Its shape is then tested: beyond both
   neighbouring levels (medians of five readings) by `leap_times` the scatter and beyond the readings beside it by half as much. The scatter comes from quantiles of the differences between consecutive readings. Latencies are compared by their logarithm.
 
@@ -86,8 +86,9 @@ def residuals(x: np.ndarray, us: np.ndarray, width: int, period_us: int) -> np.n
         return np.zeros(0)
     x = x - np.median(x)
     step = np.median(np.diff(us)) if len(us) > 1 else 0
-    if step > 0 and us[-1] - us[0] >= 3 * period_us and period_us >= 4 * step:
-        slots = int(round(period_us / step))
+    slots = int(round(period_us / step)) if step > 0 else 0
+    days = int(us[-1] // period_us - us[0] // period_us) + 1
+    if slots >= 4 and us[-1] - us[0] >= 3 * period_us and days * slots <= 4 * len(x):  # days that are filled, not bursts far apart
         row, col = np.divmod(us - us[0] // period_us * period_us, period_us)
         col = np.minimum(col * slots // period_us, slots - 1)
     else:

@@ -123,3 +123,8 @@ def test_what_every_day_brings_is_no_spike(spark, monkeypatch):
     assert found() == [once]
     monkeypatch.setattr(spikes, "residuals", lambda x, *_: np.full(len(x), np.inf))
     assert len(found()) > 50
+
+
+def test_bursts_far_apart_make_no_large_matrix():
+    us = np.concatenate([day * 86_400_000_000 + np.arange(50) * 1_000_000 for day in range(0, 4000, 100)])
+    assert residuals(np.random.default_rng(0).normal(size=len(us)), us, 24, 86_400_000_000).shape == us.shape
