@@ -20,6 +20,7 @@ from marklake.functions.residue import CHECK, RINGS, crt_weights
 
 STATES = prod(RINGS)
 PLACES = 1024
+EXPLAINED = 1e-3  # the most that single precision leaves of a slot whose members are all taken off
 
 
 @lru_cache(maxsize=4)
@@ -57,11 +58,7 @@ def encoded(numbers: np.ndarray, places: int = PLACES, seed: int = 0) -> np.ndar
 
 def exhaustive(slot: np.ndarray, places: int, seed: int, least: float = 0.5) -> list[tuple[int, float]]:
     """Numbers whose codewords the slot holds at `least` or more, strongest first; none of an empty slot."""
-    if not np.abs(slot).mean() > 1e-9:
-        return []
-    score = (lattice(places, seed).conj() @ slot).real / places
-    hits = np.flatnonzero(score >= least)
-    return [(int(k), float(score[k])) for k in hits[np.lexsort((hits, -score[hits]))]]
+    return scanned(slot[None], places, seed, least)[0][0]
 
 
 def peeled(slot: np.ndarray, places: int, seed: int, least: float = 0.5) -> list[tuple[int, float]]:
@@ -176,14 +173,27 @@ def laddered(slot: np.ndarray, places: int, seed: int) -> tuple[list[tuple[int,
 
 
 def scanned(rows: np.ndarray, places: int, seed: int, least: float = 0.5) -> list[tuple[list[tuple[int, float]], str]]:
-    """exhaustive() for many slots by one matrix product."""
-    score = (rows @ lattice(places, seed).conj().T).real / places
-    score[np.abs(rows).mean(1) <= 1e-9] = -1
-    out = []
-    for s in score:
-        hits = np.flatnonzero(s >= least)
-        out.append(([(int(k), float(s[k])) for k in hits[np.lexsort((hits, -s[hits]))]], "SCAN"))
-    return out
+    """exhaustive() for many slots by one matrix product, of which only the real part is formed. In a crowded slot a stranger may come out above the bar or a member below it; then the hits leave a rest, in which those stand out, and
+    the hits are corrected if that explains the whole slot."""
+    rows = np.ascontiguousarray(rows, dtype=np.complex64)
+    book, flat = lattice(places, seed).view(np.float32), rows.view(np.float32)
+    score = flat @ book.T / places
+    score[~(np.abs(rows).mean(1) > 1e-9)] = -1
+    hits, rest = score >= least, rows.copy()
+    row, x = np.nonzero(hits)
+    begin = np.flatnonzero(np.diff(row, prepend=-1))
+    if len(row):
+        rest[row[begin]] -= _added(x, begin, places, seed)
+    off = np.flatnonzero(np.abs(rest).mean(1) > EXPLAINED)
+    left = rest[off].view(np.float32) @ book.T / places
+    other = (hits[off] & (left > -0.5)) | (left >= 0.5)
+    whole = np.abs((flat[off] - other.astype(np.float32) @ book).view(np.complex64)).mean(1) <= EXPLAINED
+    hits[off[whole]] = other[whole]
+    row, x = np.nonzero(hits)
+    held = score[row, x]
+    order = np.lexsort((x, -held, row))
+    hits, cut = list(zip(x[order].tolist(), held[order].tolist())), np.searchsorted(row, np.arange(len(rows) + 1))
+    return [(hits[a:b], "SCAN") for a, b in zip(cut[:-1], cut[1:])]
 
 
 READERS = {
@@ -194,56 +204,59 @@ READERS = {
 
 
 def slots(members: DataFrame, slot: str, number: str, places: int = PLACES, seed: int = 0) -> DataFrame:
-    """(slot, re, im): members' codewords added up, partly in each batch before the shuffle."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, of = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-            for a in range(0, len(names), 500):
-                own = (of >= a) & (of < a + 500)
-                total = np.zeros((min(500, len(names) - a), places), dtype=np.complex64)
-                np.add.at(total, of[own] - a, encoded(batch.column(1).to_numpy()[own], places, seed))
-                yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 500])] + [pa.array([r.astype(np.float32).tobytes() for r in part], pa.binary()) for part in (total.real, total.imag)], ["slot", "re", "im"])
+    """(slot, re, im): members' codewords added up. Numbers are shuffled, never codewords; a slot has at most 1,365 different ones."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, np.ndarray, np.ndarray] | None = None  # the last slot of a batch may go on in the next
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column("slot").to_numpy()
-            begin = np.flatnonzero(np.diff(names, prepend=names[0] - 1))
-            re, im = (np.add.reduceat(np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.float32).reshape(len(names), places), begin, axis=0) for c in ("re", "im"))
-            names = names[begin]
-            if held and held[0] == names[0]:
-                re[0] += held[1]
-                im[0] += held[2]
-            elif held:
-                yield _slot_rows(np.array([held[0]]), held[1][None], held[2][None])
-            if len(names) > 1:
-                yield _slot_rows(names[:-1], re[:-1], im[:-1])
-            held = (int(names[-1]), re[-1], im[-1])
+        held: tuple[np.ndarray, np.ndarray] | None = None  # the last slot of a part may go on in the next
+        for whole in batches:
+            for k in range(0, whole.num_rows, 5000):
+                batch = whole.slice(k, 5000)
+                names = batch.column("slot").to_numpy()
+                begin = np.flatnonzero(np.diff(names, prepend=names[0] - 1))
+                names, total = names[begin], _added(batch.column("x").to_numpy(), begin, places, seed)
+                if held and held[0][0] == names[0]:
+                    total[0] += held[1][0]
+                elif held:
+                    yield _slot_rows(*held)
+                if len(names) > 1:
+                    yield _slot_rows(names[:-1], total[:-1])
+                held = names[-1:], total[-1:].copy()
         if held:
-            yield _slot_rows(np.array([held[0]]), held[1][None], held[2][None])
+            yield _slot_rows(*held)
 
     rows = members.select(F.col(slot).cast("long").alias("slot"), F.col(number).cast("long").alias("x")).dropna().distinct()
-    schema = "slot long, re binary, im binary"
-    return rows.mapInArrow(partial, schema).repartition("slot").sortWithinPartitions("slot").mapInArrow(add, schema)
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as there are: by the bytes of its numbers, a slot's work would be taken for none
+    return rows.repartition(parts, "slot").sortWithinPartitions("slot", "x").mapInArrow(add, "slot long, re binary, im binary")
+
+
+def _added(x: np.ndarray, begin: np.ndarray, places: int, seed: int) -> np.ndarray:
+    """The sums of the numbers' codewords from each beginning to the next: the first of all, the second of all that have two, and so on."""
+    n = np.diff(begin, append=len(x))
+    order = np.argsort(-n, kind="stable")
+    total = encoded(x[begin[order]], places, seed)
+    for k in range(1, n.max()):
+        more = order[: int((n > k).sum())]
+        total[: len(more)] += encoded(x[begin[more] + k], places, seed)
+    return total[np.argsort(order)]
 
 
-def _slot_rows(names: np.ndarray, re: np.ndarray, im: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(names)] + [pa.array([r.tobytes() for r in part], pa.binary()) for part in (re, im)], ["slot", "re", "im"])
+def _slot_rows(names: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    ends = pa.py_buffer(np.arange(len(names) + 1, dtype=np.int32) * (4 * total.shape[1]))
+    return pa.RecordBatch.from_arrays([pa.array(names)] + [pa.Array.from_buffers(pa.binary(), len(names), [None, ends, pa.py_buffer(np.ascontiguousarray(part))]) for part in (total.real, total.imag)], ["slot", "re", "im"])
 
 
 def read(slot_rows: DataFrame, reader: str = "scan", places: int = PLACES, seed: int = 0) -> DataFrame:
     """(slot, rung, members array<struct<x, confidence>>) of every slot."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("x", pa.int64()), ("confidence", pa.float64())]))
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
                 re, im = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(-1, places) for c in ("re", "im"))
                 found = READERS[reader](re + 1j * im, places, seed)
-                yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array([r for _, r in found], pa.string()), pa.array([[{"x": x, "confidence": c} for x, c in f] for f, _ in found], kind)], ["slot", "rung", "members"])
+                hits = [h for f, _ in found for h in f]
+                ends = np.cumsum([0] + [len(f) for f, _ in found], dtype=np.int32)
+                held = pa.StructArray.from_arrays([pa.array([x for x, _ in hits], pa.int64()), pa.array([c for _, c in hits], pa.float64())], ["x", "confidence"])
+                yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array([r for _, r in found], pa.string()), pa.ListArray.from_arrays(pa.array(ends), held)], ["slot", "rung", "members"])
 
     return slot_rows.mapInArrow(go, "slot long, rung string, members array<struct<x: bigint, confidence: double>>")

@@ -230,9 +230,10 @@ def slot_attention(spark: SparkSession, d: str) -> DataFrame:
 def slots_read(spark: SparkSession, d: str) -> DataFrame:
     """Each customer's orders in one slot, read back against the whole lattice: members, found, wrongly found."""
     members = table(spark, d, "orders").select(F.col("o_custkey").alias("slot"), (F.col("o_orderkey") % decode.STATES).alias("x")).distinct()
-    found = decode.read(decode.slots(members, "slot", "x")).select("slot", F.explode("members").alias("m")).select("slot", F.col("m.x").alias("x"))
-    right = found.join(members, ["slot", "x"], "left_semi").groupBy("slot").agg(F.count(F.lit(1)).alias("right"))
-    return members.groupBy("slot").agg(F.count(F.lit(1)).alias("members")).join(found.groupBy("slot").agg(F.count(F.lit(1)).alias("found")), "slot", "left").join(right, "slot", "left").fillna(0)
+    known = members.groupBy("slot").agg(F.count(F.lit(1)).alias("members"), F.collect_list("x").alias("xs"))  # 1,365 numbers at most
+    found = decode.read(decode.slots(members, "slot", "x")).select("slot", F.col("members.x").alias("read"))
+    read = known.join(found, "slot", "left").withColumn("read", F.coalesce("read", F.array().cast("array<bigint>")))
+    return read.select("slot", "members", F.size("read").cast("long").alias("found"), F.size(F.array_intersect("read", "xs")).cast("long").alias("right"))
 
 
 @query("""with m as (select distinct o_custkey as slot, o_orderkey % 1365 as x from orders), n as (select slot, count(*) as n from m group by slot) select case when n = 1 then 'SIEVE' else 'SCAN' end as rung, count(*) as slots, cast(sum(n) as bigint) as members from n group by 1""")

@@ -57,6 +57,40 @@ def test_readers_over_tables(spark):
     assert [r.right for r in part] == [1.0] * 3
 
 
+def test_slots_shuffle_numbers_only(spark, small):
+    """Codewords of 8 kB are made after the last shuffle, once for each slot, and read once."""
+    from marklake.plans import queries as core
+
+    rows = decode.slots(spark.createDataFrame([(s, x) for s in range(50) for x in range(s % 7 + 1)], "slot long, x long"), "slot", "x")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan[plan.index("Exchange") :]
+    whole = np.stack([np.frombuffer(r.re, np.float32) + 1j * np.frombuffer(r.im, np.float32) for r in sorted(rows.collect())])
+    assert np.abs(whole - [slot(range(s % 7 + 1), decode.PLACES) for s in range(50)]).max() < 1e-4
+    assert core.queries()["slots_read"](spark, small)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+
+
+def test_strangers_in_crowded_slots_are_taken_off():
+    members = [17, 50, 67, 167, 312, 323, 360, 565, 568, 592, 613, 769, 783, 826, 878, 900, 1001, 1291, 1322]
+    noisy = slot(members, decode.PLACES) + 0.1 * np.random.default_rng(0).standard_normal(decode.PLACES)
+    read, kept, none = decode.scanned(np.stack([slot(members, decode.PLACES), noisy, np.zeros(decode.PLACES, complex)]), decode.PLACES, 0)
+    assert sorted(x for x, _ in read[0]) == members and read[1] == "SCAN" and set(members) <= {x for x, _ in kept[0]} and none[0] == []
+    rng = random.Random(7)
+    for n in (1, 2, 24, 60, 120):
+        own = rng.sample(range(decode.STATES), n)
+        assert {x for x, _ in decode.exhaustive(slot(own, decode.PLACES), decode.PLACES, 0)} == set(own)
+
+
+def test_slots_longer_than_a_batch(spark):
+    every = [(s, x) for s in (-3, 0, 8) for x in range(decode.STATES)] + [(9, 7), (None, 7), (9, None)]
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        got = {r.slot: np.frombuffer(r.re, np.float32) + 1j * np.frombuffer(r.im, np.float32) for r in decode.slots(spark.createDataFrame(every, "slot long, x long"), "slot", "x").coalesce(1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == [-3, 0, 8, 9] and np.abs(got[9] - slot([7], decode.PLACES)).max() < 1e-6
+    assert all(np.abs(got[s] - slot(range(decode.STATES), decode.PLACES)).max() < 1e-2 for s in (-3, 0, 8))
+
+
 def test_refinement_lets_members_lead(spark):
     """A slot kept as signs only, in which many members come out below strangers, reads right after refinement."""
     rng = random.Random(3)
