@@ -154,11 +154,11 @@ def laddered(slot: np.ndarray, places: int, seed: int) -> tuple[list[tuple[int,
     clean = sieved(slot, places, seed)
     if clean and clean[1] == "VERIFIED" and (lattice(places, seed)[clean[0]].conj() @ slot).real / places >= 0.9:
         return [(clean[0], 1.0)], "SIEVE"
-    parts, confidence = resonated(slot, places, seed)
-    x, status = from_residues(parts)
-    if status == "VERIFIED" and confidence >= 0.5 and (lattice(places, seed)[x].conj() @ slot).real / places >= 0.9 and size < 1.1:
-        return [(x, confidence)], "RESONATE"
     if size < 1.1:
+        parts, confidence = resonated(slot, places, seed)
+        x, status = from_residues(parts)
+        if status == "VERIFIED" and confidence >= 0.5 and (lattice(places, seed)[x].conj() @ slot).real / places >= 0.9:
+            return [(x, confidence)], "RESONATE"
         from marklake.operators.readers import parted
 
         parts, agreement = parted(slot, places, seed)
@@ -196,10 +196,17 @@ def scanned(rows: np.ndarray, places: int, seed: int, least: float = 0.5) -> lis
     return [(hits[a:b], "SCAN") for a, b in zip(cut[:-1], cut[1:])]
 
 
+def climbed(rows: np.ndarray, places: int, seed: int) -> list[tuple[list[tuple[int, float]], str]]:
+    """laddered() for many slots: those of several members, which the readers for one can't answer, go to the whole lattice together."""
+    several = np.flatnonzero(np.abs(rows).mean(1) >= 1.1)
+    found = dict(zip(several.tolist(), scanned(rows[several], places, seed)))
+    return [found[k] if k in found and found[k][0] else laddered(s, places, seed) for k, s in enumerate(rows)]
+
+
 READERS = {
     "scan": scanned,
     "peel": lambda rows, p, e: [(peeled(s, p, e), "PEEL") for s in rows],
-    "ladder": lambda rows, p, e: [laddered(s, p, e) for s in rows],
+    "ladder": climbed,
 }
 
 

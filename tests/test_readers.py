@@ -80,6 +80,18 @@ def test_strangers_in_crowded_slots_are_taken_off():
         assert {x for x, _ in decode.exhaustive(slot(own, decode.PLACES), decode.PLACES, 0)} == set(own)
 
 
+def test_the_ladder_takes_slots_of_several_members_together(monkeypatch):
+    """As slot by slot, but the readers for one member are not tried on those of several."""
+    rng = random.Random(8)
+    rows = [slot(rng.sample(range(decode.STATES), n), decode.PLACES) for n in (2, 1, 9, 3, 24)] + [np.zeros(decode.PLACES, complex), 1.2 * np.exp(2j * np.pi * np.random.default_rng(0).random(decode.PLACES))]
+    rows = np.stack(rows).astype(np.complex64)
+    one_by_one = [decode.laddered(s, decode.PLACES, 0) for s in rows]
+    monkeypatch.setattr(decode, "resonated", None)
+    together = decode.READERS["ladder"](rows, decode.PLACES, 0)
+    assert [(sorted(x for x, _ in f), rung) for f, rung in together] == [(sorted(x for x, _ in f), rung) for f, rung in one_by_one]
+    assert [rung for _, rung in together] == ["SCAN", "SIEVE", "SCAN", "SCAN", "SCAN", "ABSTAIN", one_by_one[-1][1]]
+
+
 def test_slots_longer_than_a_batch(spark):
     every = [(s, x) for s in (-3, 0, 8) for x in range(decode.STATES)] + [(9, 7), (None, 7), (9, None)]
     try:
